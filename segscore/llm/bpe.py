@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,10 +130,30 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Memo(dict):
+    """make(key), kept in two generations: what is in use moves to the younger one, the older is dropped when that is full."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int, longest: int) -> None:
+        super().__init__()
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.longest:
+                return found
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Encoder:
-    """Whole texts to ids: special tokens, pre-split words, the automaton, and a bounded memo of chunks."""
+    """Whole texts to ids: special tokens, pre-split words, the automaton, and bounded memos of chunks and of words."""
 
-    def __init__(self, path: str, pattern: str, memo: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, path: str, pattern: str, memo: int = 250_000, longest: int = 64) -> None:
         import regex
 
         self.automaton = Automaton(path)
@@ -140,18 +161,11 @@ class Encoder:
         special = sorted(self.automaton.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.spaced = regex.compile(r"\s ")
-        outer = self
+        self.word = Memo(lambda w: tuple(self.automaton.encode(w.encode())), memo, longest)
+        self.known = Memo(self.chunk, memo, longest)
 
-        class Memo(dict):
-            def __missing__(self, chunk: str) -> list[int]:
-                ids = [i for w in outer.words.findall(chunk) for i in outer.automaton.encode(w.encode())]
-                if len(chunk) <= longest:
-                    if len(self) >= memo:
-                        self.clear()
-                    self[chunk] = ids
-                return ids
-
-        self.known = Memo()
+    def chunk(self, chunk: str) -> tuple[int, ...]:
+        return tuple(i for w in self.words.findall(chunk) for i in self.word[w])
 
     def plain(self, text: str) -> list[int]:
         """Words never cross a space that a visible character precedes, so the text is cut before those."""
@@ -160,10 +174,7 @@ class Encoder:
         else:
             first, *rest = text.split(" ")
             chunks = [first, *map(" ".__add__, rest)]
-        out: list[int] = []
-        for ids in map(self.known.__getitem__, chunks):
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, chunks)))
 
     def encode(self, text: str) -> list[int]:
         if self.special is None or not any(map(text.__contains__, self.automaton.special)):
