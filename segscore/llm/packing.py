@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,35 +24,72 @@ from .common import pick, slices, texts
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
-def chunk_encoder(path: str, end_id: int, memo: int = 400_000, longest: int = 64) -> Callable[[str], bytes]:
-    """Text to little-endian 32-bit ids by a tokenizer that drops white space, with end_id behind.
+class ChunkEncoder:
+    """Texts to little-endian 32-bit ids by a tokenizer that drops white space, with end_id behind.
 
-    No word of such a tokenizer crosses a space or a line end, so the text is cut there and each chunk is looked up, or
-    encoded by the library when it is new. The memo is emptied at `memo` chunks; chunks over `longest` stay out of it.
+    No word of such a tokenizer crosses a space or a line end, so texts are cut there and chunks looked up. What is new
+    in a run of texts goes to the library in one call, the chunks apart by a special token. The memo has two
+    generations of `memo` chunks: what is in use moves to the younger one, the older one is dropped when that is full.
     """
-    import numpy as np
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    class Memo(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            ids = np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
-            if len(chunk) <= longest:
-                if len(self) >= memo:
-                    self.clear()
-                self[chunk] = ids
-            return ids
-
-    known = Memo()
-    end = np.asarray([end_id], "<u4").tobytes()
-
-    def encode(text: str) -> bytes:
-        return b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))) + end
-
-    return encode
+    def __init__(self, path: str, end_id: int, memo: int = 300_000, longest: int = 64) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.mark_id, mark = next((i, t) for i, t in special.items() if t.special and not (t.lstrip or t.rstrip))
+        self.mark = mark.content
+        self.end = np.asarray([end_id], "<u4").tobytes()
+        self.memo, self.longest = memo, longest
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def library(self, chunks: list[str]) -> list[bytes]:
+        ids = np.asarray(self.tokenizer.encode(self.mark.join(chunks), add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(ids == self.mark_id)
+        if len(at) != len(chunks) - 1:  # a chunk has the mark itself
+            return [np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+        return [x[1 if i else 0 :].tobytes() for i, x in enumerate(np.split(ids, at))]
+
+    def learn(self, chunks: set[str]) -> None:
+        new: dict[str, list[str]] = {}  # by what the library is to see
+        for c in chunks:
+            if (ids := self.older.get(c)) is not None:
+                self.known[c] = ids
+                continue
+            # The library lowers letters one by one, and a mark behind letters is a word of its own.
+            word, tail = (c[:-1], c[-1]) if c[-1] in ",." else (c, "")
+            lower = word.lower()
+            if word.isalpha() and (word.isascii() or lower == "".join(map(str.lower, word))):
+                new.setdefault(lower, []).append(c)
+                if tail:
+                    new.setdefault(tail, [])
+            else:
+                new.setdefault(c, []).append(c)
+        found = {c: ids for c in new if (ids := self.known.get(c, self.older.get(c))) is not None}
+        asked = [c for c in new if c not in found]
+        if asked:
+            found.update(zip(asked, self.library(asked), strict=True))
+        for c, forms in new.items():
+            if c:
+                self.known[c] = found[c]
+            for form in forms:
+                self.known[form] = found[c] if len(form) == len(c) or form == c else found[c] + found[form[-1]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        if new := set().union(*cut).difference(self.known):
+            self.learn(new)
+        out = [b"".join(map(self.known.__getitem__, chunks)) + self.end for chunks in cut]
+        for c in new:
+            if len(c) > self.longest:
+                self.known.pop(c, None)
+                self.known.pop(c.lower(), None)
+        if len(self.known) > self.memo:
+            self.known, self.older = {"": b""}, self.known
+        return out
 
 
 class Packer:
@@ -144,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = chunk_encoder(tokenizer, end_id)
+        encode = ChunkEncoder(tokenizer, end_id)
         packer = Packer(tiers, TaskContext.get().partitionId() << 40, groups)
 
         def out() -> pa.RecordBatch:
@@ -153,8 +191,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
 
         waiting = 0
         for batch in slices(batches, "_text"):
-            for doc, body in zip(batch.column("_key").to_pylist(), texts(batch, "_text"), strict=True):
-                packer.add(doc, encode(body))
+            for doc, ids in zip(batch.column("_key").to_pylist(), encode(texts(batch, "_text")), strict=True):
+                packer.add(doc, ids)
                 waiting += 1
                 if waiting >= buffer:
                     packer.pack()
