@@ -132,14 +132,14 @@ def thresholds(measured: DataFrame, spread: float, least: int) -> DataFrame:
     return rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in RATIOS for c in ("upper", "lower")))
 
 
-def judge(docs: DataFrame, spread: float = 4.0, least: int = 200, salts: int = 16) -> DataFrame:
-    """doc_id, lang, source, the base measures, base_failed, kept for every row.
+def judge(docs: DataFrame, spread: float = 4.0, least: int = 200, salts: int = 16, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the columns of `also`, the base measures, base_failed, kept for every row.
 
     base_failed: under 10 words, or more than a fifth of the words lie in repeated 5-word windows. kept: not failed, and
     every ratio lies within its group's thresholds. Null lang or source is a group like any other. A null or empty text
     fails for lack of words; repeated rows are judged each; an empty table gives no rows; further columns are ignored.
     """
-    measured = saved(measure(docs), "measures")
+    measured = saved(measure(docs, keep=("lang", "source", *also)), "measures")
     bounds = thresholds(measured, spread, least)
     # A hot source meets its bounds in `salts` tasks: bounds are repeated, rows are dealt by a hash of their id.
     salted = measured.withColumn("_s", F.pmod(F.xxhash64("doc_id", *BASE), F.lit(salts)))
@@ -154,4 +154,11 @@ def judge(docs: DataFrame, spread: float = 4.0, least: int = 200, salts: int = 1
         return F.coalesce(x.between(F.col(f"{metric}_lower"), F.col(f"{metric}_upper")), F.lit(True))
 
     verdict = inside("symbols") & inside("dup_lines") & inside("word_length")
-    return joined.select("doc_id", "lang", "source", *BASE, failed.alias("base_failed"), (~failed & verdict).alias("kept"))
+    return joined.select("doc_id", "lang", "source", *also, *BASE, failed.alias("base_failed"), (~failed & verdict).alias("kept"))
+
+
+def keep_good(docs: DataFrame, **how) -> DataFrame:
+    """docs without the rows that judge() rejects."""
+    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    rejected = judge(own, also=("_row",), **how).where("not kept").select("_row").distinct()
+    return own.join(rejected, "_row", "left_anti").select(*docs.columns)
