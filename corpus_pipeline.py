@@ -1,15 +1,53 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, repeated passages, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, repeated passages, packing.
+
+Each stage takes the documents that the stage before kept and returns documents; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segscore.llm import lines, neardup, packing, repeats, rules
+from segscore.llm.common import saved
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars after a stage that changed texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return rules.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return counted(lines.clean_lines(docs).select(*docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return counted(repeats.remove_repeats(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near dedup", near_dedup), ("passage dedup", passage_dedup), ("packing", pack)]
+#: Signatures, transforms and tokens have no SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = saved(docs, name.replace(" ", "-"))
     return docs
