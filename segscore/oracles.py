@@ -184,7 +184,7 @@ BOOTSTRAP_WEIGHTS = f"WITH {long()}, c AS (SELECT DISTINCT contract_id, ctype FR
 
 
 def boot(stream: str, split: str, stratum: str = "ctype", score: str = "score", name: str = "b") -> str:
-    return f"""{tuned(score, f"t{name}")}, r{name} AS (SELECT * FROM t{name} WHERE split = '{split}'), k{name} AS (SELECT DISTINCT contract_id, ctype FROM r{name}), {weights(f"k{name}", "contract_id", stratum, 200, stream, f"w{name}")},
+    return f"""{tuned(score, f"tuned_{name}")}, r{name} AS (SELECT * FROM tuned_{name} WHERE split = '{split}'), k{name} AS (SELECT DISTINCT contract_id, ctype FROM r{name}), {weights(f"k{name}", "contract_id", stratum, 200, stream, f"w{name}")},
 c{name} AS (SELECT contract_id, label, {COUNTS} FROM r{name} GROUP BY ALL),
 s{name} AS (SELECT resample, label, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn FROM c{name} JOIN w{name} USING (contract_id) GROUP BY ALL),
 {name} AS (SELECT resample, avg(2.0::DOUBLE * tp / (2 * tp + fp + fn)) AS macro_f1, 2.0::DOUBLE * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS micro_f1 FROM s{name} WHERE tp + fn > 0 GROUP BY resample)"""
