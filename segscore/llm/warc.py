@@ -49,7 +49,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    head += [f"WARC-Target-URI: {quote(url, safe=';/?:@&=+$,-_.!~*()#%[]')}"] * (url is not None)
+    head += [f"WARC-Target-URI: {quote(url or '', safe=';/?:@&=+$,-_.!~*()#%[]')}"] * (url is not None)
     head += [f"WARC-Page-ID: {page_id}"] * (page_id is not None)
     head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"] * (refers_to is not None)
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
