@@ -37,7 +37,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the needed columns, under internal names that no extra column can clash with."""
-    return df.select(*(F.col(f"`{name}`").alias(alias) for alias, name in columns.items()))
+    # A name that stays gets no alias: Spark would see two different plans where the result is used twice.
+    return df.select(*(F.col(f"`{name}`") if alias == name else F.col(f"`{name}`").alias(alias) for alias, name in columns.items()))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -97,13 +97,15 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """
     base = pick(docs, doc_id=key, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
-    after = following(base.where("doc_id is not null").groupBy("doc_id").agg(F.max(half).alias("half")))
+    numbered = base.where("doc_id is not null")
+    after = following(numbered.groupBy("doc_id").agg(F.max(half).alias("half")))
     after = after.select(F.col("doc_id").alias("prev_id"), "half", F.col("next_id").alias("doc_id"))
-    own = base.repartition("doc_id")
+    own = numbered.repartition("doc_id")  # both joins read this one exchange
     one = own.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_r = 1")
     heads = one.join(after, "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("half")).alias("head"), fingerprint(F.col("text")).alias("next_fp"))
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.coalesce(F.substring("head", F.lit(1), half), F.lit("")))
-    rows = own.join(heads, "doc_id", "left").select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), fingerprint(F.col("text")).alias("fp"), "next_fp")
+    alone = base.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("next_fp"))
+    rows = own.join(heads, "doc_id", "left").select("doc_id", "text", "head", "next_fp").unionByName(alone).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), fingerprint(F.col("text")).alias("fp"), "next_fp")
     rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fp", fingerprint(F.col("edited")).alias("efp"), "next_fp")
     near_next = F.when(F.col("next_fp").isNotNull(), likeness(F.col("fp"), F.col("next_fp")))
     return rows.select("doc_id", "n_chars", "edited_sha256", told(F.col("fp")).alias("fingerprint"), told(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), near_next.alias("near_next"))
