@@ -21,8 +21,10 @@ from .common import pick, saved, slices, texts
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: The ratios held against adaptive thresholds, and the share of a group that a rejecting threshold must leave far behind.
+#: The ratios held against adaptive thresholds, and how far from the median a threshold lies at least: short clean texts
+#: may have a symbol or a repeated short line in a few words.
 RATIOS = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_words", "word_length": "word_chars / n_words"}
+ROOM = {"symbols": 0.3, "dup_lines": 0.2, "word_length": 2.0}
 GROWTH = 1.02
 
 
@@ -117,7 +119,7 @@ def thresholds(measured: DataFrame, spread: float, least: int) -> DataFrame:
     """lang, source and one upper and lower bound per ratio.
 
     A bound is the median plus or minus `spread` times the distance from the median to the 95% (5%) quantile, and never
-    nearer than half the median (or 0.05) away: where a group hardly varies, a small difference isn't a fault.
+    nearer than half the median (or ROOM) away: where a group hardly varies, a small difference isn't a fault.
     """
     long = measured.where("n_words > 0").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(e).cast("double").alias("x")) for m, e in RATIOS.items()))).alias("v"), F.lit(1).alias("n")).select("lang", "source", "v.metric", "v.x", "n")
     fine = saved(sketch(long, ["lang", "source"]), "quantile-sketches")
@@ -127,7 +129,8 @@ def thresholds(measured: DataFrame, spread: float, least: int) -> DataFrame:
     every = quantiles(merged(fine, []), [], at).select(F.col("metric").alias("a_metric"), *(F.col(c).alias(f"a_{c}") for c in at))
     both = group.join(lang, group["lang"].eqNullSafe(lang["l_lang"]) & (group["metric"] == lang["l_metric"])).join(F.broadcast(every), F.col("metric") == F.col("a_metric"))  # `every` has a row per ratio
     low, mid, high = (F.when(F.col("total") >= least, F.col(c)).when(F.col("l_total") >= least, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")) for c in at)
-    room = F.greatest(mid * 0.5, F.lit(0.05))
+    least_room = F.create_map(*(F.lit(x) for pair in ROOM.items() for x in pair))
+    room = F.greatest(mid * 0.5, F.element_at(least_room, F.col("metric")))
     rows = both.select("lang", "source", "metric", (mid + F.greatest((high - mid) * spread, room)).alias("upper"), (mid - F.greatest((mid - low) * spread, room)).alias("lower"))
     return rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in RATIOS for c in ("upper", "lower")))
 
