@@ -33,6 +33,7 @@ ANCHOR = 24
 U64 = np.uint64
 #: Windows of a document that are searched at once, and occurrences above which an anchor's segments are cut up.
 BLOCK, HOT = 1 << 19, 4096
+BROADCAST_SPANS = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -134,7 +135,7 @@ def anchor_blobs(docs: DataFrame, width: int, buckets: int, directory: bool) ->
             if directory:
                 rows = np.array(batch.column("_row").to_numpy(zero_copy_only=False))
                 n = np.bincount(text, minlength=len(rows))
-                told = [number], [-1], [zlib.compress(rows.tobytes() + n.astype(np.int64).tobytes() + bucket.astype(np.uint32).tobytes(), 1)]
+                told = [number], [-1], [zlib.compress(rows.tobytes() + n.astype(np.int64).tobytes() + bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32).tobytes(), 1)]
             else:
                 order = np.argsort(bucket.astype(np.uint32), kind="stable")
                 keys, b = (g & U64(0xFFFFFFFF)).astype(np.uint32)[order], bucket[order]
@@ -161,18 +162,18 @@ def shared_bits(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "blob": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
 
 
-def row_bits(table: pa.Table) -> pa.Table:
+def row_bits(table: pa.Table, buckets: int) -> pa.Table:
     """Per row of a slice the bits of its anchors in order, where any is set."""
-    buckets = table.column("bucket").to_pylist()
-    blobs = {b: zlib.decompress(x) for b, x in zip(buckets, table.column("blob").to_pylist(), strict=True)}
+    blobs = {b: zlib.decompress(x) for b, x in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True)}
     raw = blobs.pop(-1)
     total = len(raw)
-    # rows (8 bytes) and counts (8 bytes) each, then 4 bytes per anchor: the counts say how many of which.
+    # rows (8 bytes) and counts (8 bytes) each, then 2 or 4 bytes per anchor.
     per = sum(map(len, blobs.values()))
-    n_rows = (total - 4 * per) // 16
+    wide = 2 if buckets <= 1 << 16 else 4
+    n_rows = (total - wide * per) // 16
     rows = np.frombuffer(raw, np.int64, n_rows)
     counts = np.frombuffer(raw, np.int64, n_rows, 8 * n_rows)
-    bucket = np.frombuffer(raw, np.uint32, per, 16 * n_rows)
+    bucket = np.frombuffer(raw, np.uint16 if wide == 2 else np.uint32, per, 16 * n_rows)
     bits = np.zeros(per, np.uint8)
     order = np.argsort(bucket, kind="stable")
     if per:
@@ -189,14 +190,24 @@ def padded(text: np.ndarray, start: np.ndarray, length: np.ndarray, tail: list[n
     """Rows of bytes with zeros behind and the tail columns at the end, as 64-bit words."""
     wide = -(-(most + len(tail)) // 8) * 8
     out = np.zeros((len(start), wide), np.uint8)
-    at = start[:, None] + np.arange(most)
-    inside = np.arange(most) < length[:, None]
-    out[:, :most][inside] = text[at[inside]]
+    for lo in range(0, len(start), 8192):  # the places of all bytes at once would take eight times the bytes
+        inside = np.arange(most) < length[lo : lo + 8192, None]
+        out[lo : lo + 8192, :most][inside] = text[(start[lo : lo + 8192, None] + np.arange(most))[inside]]
     for i, x in enumerate(tail):
         out[:, wide - 1 - i] = x
     return out.view(U64)
 
 
+def anchor_hashes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The hashes that runs() gives to the anchors of these segments."""
+    h = mix(raw[np.arange(len(raw))[:, None], off[:, None] + np.arange(ANCHOR)].astype(U64) + U64(1))
+    for step in (1, 2, 4, 8):
+        h = mix(h[:, :-step] * U64(31) + h[:, step:])
+        if step == 4:
+            eight = h
+    return mix(h[:, 0] * U64(31) + eight[:, 16])
+
+
 def distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First row and inverse of the distinct rows, and a hash of each; rows are compared by 128 bits."""
     a, b = np.zeros(len(words), U64), np.full(len(words), 7, U64)
@@ -258,10 +269,11 @@ def segment_blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 f = firsts[order[lo:hi]]
                 ln = length[f]
                 flat = raw[lo:hi, :most][np.arange(most) < ln[:, None]].tobytes()
-                head = np.int64(hi - lo).tobytes() + key[order[lo:hi]].tobytes() + least[order[lo:hi]].tobytes() + ln.astype(np.uint8).tobytes() + off[f].astype(np.uint8).tobytes()
+                marked = off[f] + 128 * is_hot[order[lo:hi]]
+                head = np.int64(hi - lo).tobytes() + least[order[lo:hi]].tobytes() + ln.astype(np.uint8).tobytes() + marked.astype(np.uint8).tobytes()
                 o = by[limits[i] : limits[i + 1]]
-                occ = (where[o] - lo).astype(np.uint32).tobytes() + text[o].astype(np.uint32).tobytes() + start[o].astype(np.int64).tobytes()
-                out.append((number, int(b[lo]), head + flat, zlib.compress(occ, 1)))
+                occ = (where[o] - lo).astype(np.uint32).tobytes() + text[o].astype(np.uint32).tobytes() + start[o].astype(np.uint32).tobytes()
+                out.append((number, int(b[lo]), zlib.compress(head + flat, 3), zlib.compress(occ, 3)))
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slice", "bucket", "segs", "occ"])
 
@@ -356,18 +368,21 @@ def merge_bucket(width: int, shards: int, letters: int = 1 << 20):
     def run(table: pa.Table) -> pa.Table:
         got = []
         for k, blob in enumerate(table.column("segs").to_pylist()):
+            blob = zlib.decompress(blob)
             n = int(np.frombuffer(blob, np.int64, 1)[0])
-            ln = np.frombuffer(blob, np.uint8, n, 8 + 16 * n).astype(np.int64)
+            ln = np.frombuffer(blob, np.uint8, n, 8 + 8 * n)
             raw = np.zeros((n, most), np.uint8)
-            raw[np.arange(most) < ln[:, None]] = np.frombuffer(blob, np.uint8, -1, 8 + 18 * n)
-            got.append((np.frombuffer(blob, U64, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n), ln, np.frombuffer(blob, np.uint8, n, 8 + 17 * n).astype(np.int64), raw, np.full(n, k)))
-        key, least, length, off, raw, origin = map(np.concatenate, zip(*got, strict=True))
-        words = np.zeros((len(key), -(-(most + 2) // 8) * 8), np.uint8)
+            raw[np.arange(most) < ln[:, None]] = np.frombuffer(blob, np.uint8, -1, 8 + 10 * n)
+            got.append((np.frombuffer(blob, np.int64, n, 8), ln.astype(np.int64), np.frombuffer(blob, np.uint8, n, 8 + 9 * n), raw, np.full(n, k)))
+        least, length, marked, raw, origin = map(np.concatenate, zip(*got, strict=True))
+        off, is_hot = (marked & 127).astype(np.int64), marked > 127
+        words = np.zeros((len(least), -(-(most + 2) // 8) * 8), np.uint8)
         words[:, :most], words[:, -1], words[:, -2] = raw, length, off
-        first, inverse, _ = distinct(words.view(U64))
+        first, inverse, sums = distinct(words.view(U64))
         low = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(low, inverse, least)
-        key, length, off, raw, origin = key[first], length[first], off[first], raw[first], origin[first]
+        length, off, raw, origin, is_hot, lengths = length[first], off[first], raw[first], origin[first], is_hot[first], length
+        key = np.where(is_hot, sums, anchor_hashes(raw, off))
         order = np.argsort(key, kind="stable")
         k = key[order]
         begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
@@ -387,7 +402,7 @@ def merge_bucket(width: int, shards: int, letters: int = 1 << 20):
                 out[i] = least_docs(key[i], low[i], length[i], off[i], raw[i], origin[i] % shards, width)
                 lo, groups = hi, 0
         # Per segment one value where all windows agree, else one per window.
-        full, count = out[inverse], (length - width + 1)[inverse]
+        full, count = out[inverse], lengths - width + 1
         one = ((full == full[:, :1]) | (np.arange(windows) >= count[:, None])).all(1)
         blobs, lo = [], 0
         for x in got:
@@ -429,8 +444,8 @@ def slice_spans(width: int):
                 occ[b] = zlib.decompress(o)
         spans = [np.zeros((3, 0), np.int64)]
         for b, raw in occ.items():
-            m = len(raw) // 16
-            seg, text, start = np.frombuffer(raw, np.uint32, m), np.frombuffer(raw, np.uint32, m, 4 * m).astype(np.int64), np.frombuffer(raw, np.int64, m, 8 * m)
+            m = len(raw) // 12
+            seg, text, start = np.frombuffer(raw, np.uint32, m), *(np.frombuffer(raw, np.uint32, m, i * m).astype(np.int64) for i in (4, 8))
             got = result[b]
             # told and count, a byte each per segment, then 8 bytes per told value.
             n = int(seg.max()) + 1
@@ -461,12 +476,14 @@ def repeated_spans(docs: DataFrame, width: int, shards: int) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(16, total // (8 << 20))
     bits = anchor_blobs(docs.select("_row", "_text"), width, buckets, False).groupBy("bucket").applyInArrow(shared_bits, "slice long, bucket long, blob binary")
-    rows = bits.unionByName(anchor_blobs(docs.select("_row", "_text"), width, buckets, True)).groupBy("slice").applyInArrow(row_bits, "_row long, bits binary").dropDuplicates(["_row"])
+    rows = bits.unionByName(anchor_blobs(docs.select("_row", "_text"), width, buckets, True)).groupBy("slice").applyInArrow(lambda t: row_bits(t, buckets), "_row long, bits binary").dropDuplicates(["_row"])
     segments = saved(segment_blobs(docs.join(rows, "_row").select("_row", "_doc", "_text", "bits"), width, buckets), "segments")
     merged = segments.where("bucket >= 0").select("slice", "bucket", "segs").groupBy("bucket").applyInArrow(merge_bucket(width, shards), "slice long, bucket long, segs binary, occ binary")
     # segments keep their occurrences here; what was sent to the buckets stays behind.
     held = segments.select("slice", "bucket", F.lit(None).cast("binary").alias("segs"), "occ")
-    return held.unionByName(merged).groupBy("slice").applyInArrow(slice_spans(width), "_row long, starts array<long>, ends array<long>").dropDuplicates(["_row"])
+    spans = saved(held.unionByName(merged).groupBy("slice").applyInArrow(slice_spans(width), "_row long, starts array<long>, ends array<long>").dropDuplicates(["_row"]), "spans")
+    # Up to a million spans (16 MB) go to every executor, and texts stay where they are; beyond that both sides are shuffled.
+    return F.broadcast(spans) if (spans.agg(F.sum(F.size("starts"))).first()[0] or 0) <= BROADCAST_SPANS else spans
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
