@@ -10,6 +10,8 @@ Sequences of a tier are dealt to step groups in turn, so that every group holds
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -24,15 +26,20 @@ from .common import pick, slices, texts
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 
 
-class ChunkEncoder:
-    """Texts to little-endian 32-bit ids by a tokenizer that drops white space, with end_id behind.
+class WordEncoder:
+    """Texts to little-endian 32-bit ids by a lower-casing tokenizer that drops white space, with end_id behind.
 
-    No word of such a tokenizer crosses a space or a line end, so texts are cut there and chunks looked up. What is new
-    in a run of texts goes to the library in one call, the chunks apart by a special token. The memo has two
-    generations of `memo` chunks: what is in use moves to the younger one, the older one is dropped when that is full.
+    No word of such a tokenizer crosses a space or a line end, and a full stop or comma between letters, digits or white
+    space is a word of its own; so texts are lowered, cut there, and the words looked up. What is new in a run of texts
+    goes to the library in one call, the words apart by a special token. Texts in which such a mark touches another one,
+    whose lower case depends on context, or that aren't in normal form, are cut at spaces only. The memo has two generations of `memo` words: what
+    is in use moves to the younger one, the older one is dropped when that is full.
     """
 
-    def __init__(self, path: str, end_id: int, memo: int = 300_000, longest: int = 64) -> None:
+    #: A full stop or comma beside another character that is neither a letter, a digit nor white space to the tokenizer.
+    TOUCHING = re.compile(r"[.,](?:(?=[^\w\s]|[_\x1c-\x1f])|(?<=[^\w\s].)|(?<=[_\x1c-\x1f].))")
+
+    def __init__(self, path: str, end_id: int, memo: int = 500_000, longest: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,53 +47,40 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         special = self.tokenizer.get_added_tokens_decoder()
         self.mark_id, mark = next((i, t) for i, t in special.items() if t.special and not (t.lstrip or t.rstrip))
-        self.mark = mark.content
+        self.mark, self.specials = mark.content, [t.content for t in special.values()]
         self.end = np.asarray([end_id], "<u4").tobytes()
         self.memo, self.longest = memo, longest
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def library(self, chunks: list[str]) -> list[bytes]:
-        ids = np.asarray(self.tokenizer.encode(self.mark.join(chunks), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(ids == self.mark_id)
-        if len(at) != len(chunks) - 1:  # a chunk has the mark itself
-            return [np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
-        return [x[1 if i else 0 :].tobytes() for i, x in enumerate(np.split(ids, at))]
-
-    def learn(self, chunks: set[str]) -> None:
-        new: dict[str, list[str]] = {}  # by what the library is to see
-        for c in chunks:
-            if (ids := self.older.get(c)) is not None:
-                self.known[c] = ids
-                continue
-            # The library lowers letters one by one, and a mark behind letters is a word of its own.
-            word, tail = (c[:-1], c[-1]) if c[-1] in ",." else (c, "")
-            lower = word.lower()
-            if word.isalpha() and (word.isascii() or lower == "".join(map(str.lower, word))):
-                new.setdefault(lower, []).append(c)
-                if tail:
-                    new.setdefault(tail, [])
-            else:
-                new.setdefault(c, []).append(c)
-        found = {c: ids for c in new if (ids := self.known.get(c, self.older.get(c))) is not None}
-        asked = [c for c in new if c not in found]
-        if asked:
-            found.update(zip(asked, self.library(asked), strict=True))
-        for c, forms in new.items():
-            if c:
-                self.known[c] = found[c]
-            for form in forms:
-                self.known[form] = found[c] if len(form) == len(c) or form == c else found[c] + found[form[-1]]
+    def library(self, words: list[str]) -> list[bytes]:
+        ids = np.asarray(self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids, "<u4")
+        at = (np.flatnonzero(ids == self.mark_id) * 4).tolist()
+        if len(at) != len(words) - 1:  # a word has the mark itself
+            return [np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *(x + 4 for x in at)], [*at, len(raw)], strict=True)]
+
+    def cut(self, text: str) -> list[str]:
+        if "\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text) or self.TOUCHING.search(text) or any(map(text.__contains__, self.specials)):
+            return text.replace("\n", " ").split(" ")
+        return text.lower().replace("\n", " ").replace(",", " , ").replace(".", " . ").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*cut).difference(self.known):
-            self.learn(new)
-        out = [b"".join(map(self.known.__getitem__, chunks)) + self.end for chunks in cut]
-        for c in new:
-            if len(c) > self.longest:
-                self.known.pop(c, None)
-                self.known.pop(c.lower(), None)
+        cut = list(map(self.cut, texts))
+        new = set().union(*cut).difference(self.known)
+        asked = []
+        for w in new:
+            if (ids := self.older.get(w)) is not None:
+                self.known[w] = ids
+            else:
+                asked.append(w)
+        if asked:
+            self.known.update(zip(asked, self.library(asked), strict=True))
+        out = [b"".join(map(self.known.__getitem__, words)) + self.end for words in cut]
+        for w in asked:
+            if len(w) > self.longest:
+                del self.known[w]
         if len(self.known) > self.memo:
             self.known, self.older = {"": b""}, self.known
         return out
@@ -182,7 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = ChunkEncoder(tokenizer, end_id)
+        encode = WordEncoder(tokenizer, end_id)
         packer = Packer(tiers, TaskContext.get().partitionId() << 40, groups)
 
         def out() -> pa.RecordBatch:
@@ -190,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
         waiting = 0
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 2 << 20):
             for doc, ids in zip(batch.column("_key").to_pylist(), encode(texts(batch, "_text")), strict=True):
                 packer.add(doc, ids)
                 waiting += 1
