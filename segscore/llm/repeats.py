@@ -4,6 +4,7 @@ Every string of `width` bytes has an anchor: the least of its inner 24-byte stri
 Strings that are equal have equal anchors at equal places, so runs of strings with one anchor (segments) can be dealt out
 by the anchor, and a string is only ever held against those of its own anchor.
 
+0. Of a group of equal texts only that of the least doc_id takes part; the others are removed whole.
 1. Anchors that occur once are dropped: tasks send 32-bit hashes by bucket and get back one bit per anchor.
 2. Segments of the others go out by anchor, each distinct one once per task with its least doc_id. Anchors of very many
    occurrences are cut into single strings and dealt by the whole string, so that no key gathers more rows than tasks.
@@ -471,17 +472,27 @@ def slice_spans(width: int):
     return run
 
 
+def later_copies(docs: DataFrame, width: int) -> DataFrame:
+    """_row, n of the rows whose whole text of n bytes is that of a smaller doc_id: all their strings start there too."""
+    own = docs.where(F.octet_length("_text") >= width).select("_row", "_doc", F.octet_length("_text").alias("n"), F.md5("_text").alias("digest"))
+    first = own.groupBy("digest").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last")
+    return saved(own.join(first, "digest").where("_doc > first").select("_row", "n").distinct(), "copies")
+
+
 def repeated_spans(docs: DataFrame, width: int, shards: int) -> DataFrame:
     """_row, starts, ends of the byte spans to remove; docs: _row, _doc, _text (binary)."""
+    copies = later_copies(docs, width)
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(16, total // (8 << 20))
     bits = anchor_blobs(docs.select("_row", "_text"), width, buckets, False).groupBy("bucket").applyInArrow(shared_bits, "slice long, bucket long, blob binary")
-    rows = bits.unionByName(anchor_blobs(docs.select("_row", "_text"), width, buckets, True)).groupBy("slice").applyInArrow(lambda t: row_bits(t, buckets), "_row long, bits binary").dropDuplicates(["_row"])
+    rows = bits.unionByName(anchor_blobs(docs.select("_row", "_text"), width, buckets, True)).groupBy("slice").applyInArrow(lambda t: row_bits(t, buckets), "_row long, bits binary").dropDuplicates(["_row"]).join(copies, "_row", "left_anti")
     segments = saved(segment_blobs(docs.join(rows, "_row").select("_row", "_doc", "_text", "bits"), width, buckets), "segments")
     merged = segments.where("bucket >= 0").select("slice", "bucket", "segs").groupBy("bucket").applyInArrow(merge_bucket(width, shards), "slice long, bucket long, segs binary, occ binary")
     # segments keep their occurrences here; what was sent to the buckets stays behind.
     held = segments.select("slice", "bucket", F.lit(None).cast("binary").alias("segs"), "occ")
-    spans = saved(held.unionByName(merged).groupBy("slice").applyInArrow(slice_spans(width), "_row long, starts array<long>, ends array<long>").dropDuplicates(["_row"]), "spans")
+    spans = held.unionByName(merged).groupBy("slice").applyInArrow(slice_spans(width), "_row long, starts array<long>, ends array<long>").dropDuplicates(["_row"])
+    whole = copies.select("_row", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.col("n").cast("long")).alias("ends"))
+    spans = saved(spans.unionByName(whole), "spans")
     # Up to a million spans (16 MB) go to every executor, and texts stay where they are; beyond that both sides are shuffled.
     return F.broadcast(spans) if (spans.agg(F.sum(F.size("starts"))).first()[0] or 0) <= BROADCAST_SPANS else spans
 
