@@ -21,10 +21,10 @@ from .common import pick, saved, slices, texts
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: The ratios held against adaptive thresholds, and how far from the median a threshold lies at least: short clean texts
-#: may have a symbol or a repeated short line in a few words.
-RATIOS = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_words", "word_length": "word_chars / n_words"}
-ROOM = {"symbols": 0.3, "dup_lines": 0.2, "word_length": 2.0}
+#: The ratios held against adaptive thresholds, and how far from the median a threshold lies at least: a text of ten words
+#: may have a symbol, and in one of three lines the header may stand again as the footer.
+RATIOS = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "word_length": "word_chars / n_words"}
+ROOM = {"symbols": 0.1, "dup_lines": 0.35, "word_length": 2.0}
 GROWTH = 1.02
 
 
@@ -67,8 +67,8 @@ def repeated_words(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarra
 
 
 def measure(docs: DataFrame, width: int = 5, keep: tuple[str, ...] = ("lang", "source"), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key, `keep`, and the base measures of every row's whole text; a null text has no words, lines or symbols."""
-    names = ["_key", *(f"_k{i}" for i in range(len(keep))), *BASE]
+    """The key, `keep`, the number of non-blank lines, and the base measures of every row's whole text; a null text has no words, lines or symbols."""
+    names = ["_key", *(f"_k{i}" for i in range(len(keep))), "n_lines", *BASE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -86,13 +86,13 @@ def measure(docs: DataFrame, width: int = 5, keep: tuple[str, ...] = ("lang", "s
                 starts.append(total)
                 total += len(words)
                 lines = [x for x in body.split("\n") if x.strip(SPACES)]
-                rows.append((len(words), len(body) - sum(map(body.count, SPACES)), sum(map(body.count, SYMBOLS)), len(lines) - len(set(lines))))
+                rows.append((len(lines), len(words), len(body) - sum(map(body.count, SPACES)), sum(map(body.count, SYMBOLS)), len(lines) - len(set(lines))))
             repeats = repeated_words(np.concatenate(ids), np.array(starts), width)
             kept = [batch.column(c) for c in names[: 1 + len(keep)]]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(repeats)], names=names)
 
     rows = pick(docs, _key=key, **{f"_k{i}": c for i, c in enumerate(keep)}, _text=text)
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{c} long" for c in BASE]
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{c} long" for c in ("n_lines", *BASE)]
     return rows.mapInArrow(run, ", ".join(fields)).withColumnsRenamed({"_key": key, **{f"_k{i}": c for i, c in enumerate(keep)}})
 
 
@@ -118,12 +118,13 @@ def quantiles(sketches: DataFrame, by: list[str], at: dict[str, float]) -> DataF
 def thresholds(measured: DataFrame, spread: float, least: int) -> DataFrame:
     """lang, source and one upper and lower bound per ratio.
 
-    A bound is the median plus or minus `spread` times the distance from the median to the 95% (5%) quantile, and never
-    nearer than half the median (or ROOM) away: where a group hardly varies, a small difference isn't a fault.
+    A bound is the median plus or minus `spread` times the distance from the median to the upper (lower) quartile, which
+    junk in up to a quarter of a group cannot move, and never nearer than half the median (or ROOM) away: where a group
+    hardly varies, a small difference isn't a fault.
     """
     long = measured.where("n_words > 0").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(e).cast("double").alias("x")) for m, e in RATIOS.items()))).alias("v"), F.lit(1).alias("n")).select("lang", "source", "v.metric", "v.x", "n")
     fine = saved(sketch(long, ["lang", "source"]), "quantile-sketches")
-    at = {"low": 0.05, "mid": 0.5, "high": 0.95}
+    at = {"low": 0.25, "mid": 0.5, "high": 0.75}
     group = quantiles(fine, ["lang", "source"], at)
     lang = quantiles(merged(fine, ["lang"]), ["lang"], at).select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), *(F.col(c).alias(f"l_{c}") for c in ("total", *at)))
     every = quantiles(merged(fine, []), [], at).select(F.col("metric").alias("a_metric"), *(F.col(c).alias(f"a_{c}") for c in at))

@@ -345,6 +345,44 @@ def test_quality_rules(docs):
     assert kept.columns == docs.columns and kept.count() == rules.judge(docs).where("kept").count()
 
 
+def test_kept_with_planted_junk(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    clean = lambda: "\n".join(" ".join(word() for _ in range(10)) for _ in range(6))
+    piped = lambda: " | ".join(" ".join(word() for _ in range(2)) for _ in range(40))
+    marked = lambda: " ".join(word() + r.choice(["###", "***"]) for _ in range(60))
+
+    def repeated() -> str:  # short lines three times, between long ones: few words, many lines
+        return "\n".join(x for _ in range(6) for v in [word() + " " + word()] for x in (v, " ".join(word() for _ in range(12)), v, v))
+
+    def brute(own: list[tuple]) -> set[int]:
+        ratios = {}
+        for d, x in own:
+            n, chars, symbols, dup, hit = measures(x)
+            if n >= 10 and 100 * hit <= 20 * n:
+                ratios[d] = (symbols / n, dup / sum(bool(v.strip()) for v in x.split("\n")), chars / n)
+        out = set(ratios)
+        for i, room in enumerate((0.1, 0.35, 2.0)):
+            of = sorted(v[i] for v in ratios.values())
+            low, mid, high = (of[int(np.ceil(len(of) * q)) - 1] for q in (0.25, 0.5, 0.75))
+            least = max(room, mid / 2)
+            out -= {d for d, v in ratios.items() if not mid - max(4 * (mid - low), least) <= v[i] <= mid + max(4 * (high - mid), least)}
+        return out
+
+    for kinds in ((piped,), (marked,), (repeated,), (piped, marked, repeated)):
+        made, groups, junk = [], defaultdict(list), set()
+        for share in (1, 6, 20):
+            for i in range(400):
+                d = len(made)
+                bad = i < 4 * share
+                x = kinds[i % len(kinds)]() if bad else clean()
+                junk |= {d} if bad else set()
+                made.append((d, x, "en", f"s{share}"))
+                groups[share].append((d, x))
+        got = {x.doc_id for x in rules.judge(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+        assert got == set().union(*map(brute, groups.values())) == set(range(len(made))) - junk
+
+
 def test_quantiles_of_merged_sketches_are_near_exact(spark):
     r = random.Random(4)
     values = [(r.choice("ab"), "m", r.lognormvariate(0, 1), 1) for _ in range(3000)] + [("a", "m", 0.0, 1)] * 10
