@@ -8,8 +8,8 @@ coordinate is the signature. Coordinates of two documents agree with the probabi
 
 Bands of coordinates are joined on equality. In a band's group every document is paired with the least and the greatest
 one only, never all with all, and pairs that earlier bands have put into one component are not tested again; pairs are
-held against the exact likeness. Where a group of four or more is left with several components, further rounds pair
-representatives of components, until a round brings no new link.
+held against the exact likeness. Where a group of four or more is left with several components, every pair across
+components that can reach the likeness is found by an exact prefix filter over the elements, rare ones first, and tested.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import pick, saved, slices, texts
@@ -28,6 +29,8 @@ from .graph import components
 #: 24 bands of 5: a pair of likeness 0.8 shares a band with probability 0.99993.
 BANDS, ROWS = 24, 5
 BROADCAST_ROWS = 1_000_000
+#: Of the pairs across components, so many of each node are tested before the others.
+FIRST = 8
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -174,6 +177,36 @@ def sized(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least)).select("a", "b")
 
 
+def crossing(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """From (node, comp): every pair a < b of two components that may reach the likeness, and `shared`, its prefix elements.
+
+    Sets of a likeness of at least `least` share that part of the larger one; so with elements in one order for all sets,
+    each has a common one among its first n - ceil(least x n) + 1. Rare elements come first: what a template gives to
+    all of a group's documents stands behind. An element's pairs inside its chief component are never formed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "elements", 2 << 20):
+            own = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("elements")]
+            count = [len(v) for v in own]
+            columns = [pa.array(np.repeat(batch.column(c).to_numpy(), count)) for c in ("node", "comp")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(count, count).astype(np.int64)), pa.array(np.concatenate(own))], names=["node", "comp", "n", "e"])
+
+    rows = saved(sets.join(nodes, "node").select("node", "comp", "elements").mapInArrow(run, "node long, comp long, n long, e long"), "elements")
+    common = rows.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "e"))
+    first = rows.join(common, "e", "left").withColumn("_place", place)
+    first = saved(first.where((F.col("_place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-6) + 1) & F.col("df").isNotNull()).select("e", "node", "comp", "n"), "prefixes")
+    parts = first.groupBy("e", "comp").agg(F.count("*").alias("c"))
+    chief = parts.groupBy("e").agg(F.count("*").alias("parts"), F.max(F.struct("c", "comp"))["comp"].alias("chief")).where("parts > 1")
+    mixed_ = saved(first.join(chief, "e").select("e", "node", "comp", "n", (F.col("comp") == F.col("chief")).alias("in_chief")), "mixed-elements")
+    left, right = (mixed_.select("e", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "in_chief"))) for x in "uv")
+    once = F.col("in_chief_v") | (F.col("node_u") < F.col("node_v"))
+    size = F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * F.lit(least)
+    pairs = left.where("not in_chief_u").join(right, "e").where((F.col("comp_u") != F.col("comp_v")) & once & size)
+    return pairs.groupBy(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b")).agg(F.count("*").alias("shared"))
+
+
 def near_classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, width: int = 5, first_bands: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, class_size, node for every row; class_id is the least doc_id of its class.
 
@@ -204,21 +237,19 @@ def near_classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows:
     more = saved(sized(apart.select("u", "v"), nodes, least).join(tested, ["a", "b"], "left_anti"), "pairs")
     links, tested = saved(links.unionByName(alike(more, sets, least)), "links"), tested.unionByName(more)
     labels = components(links)
-    for turn in range(1, 9):
-        # Groups of four and more may hold several components yet: pair each with that which this turn names.
-        left = members.where("m > 3").join(labels, "node", "left").select("k", "node", F.coalesce("comp", "node").alias("comp"))
-        parts = left.groupBy("k", "comp").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        named = parts.groupBy("k").agg(F.count("*").alias("c"), F.min(F.xxhash64(F.lit(turn), "comp")).alias("_h")).where("c > 1")
-        mixed_ = saved(parts.join(named, "k"), "open-groups")
-        if mixed_.isEmpty():
-            break
-        chief = mixed_.where(F.xxhash64(F.lit(turn), "comp") == F.col("_h")).select("k", F.explode(F.array("low", "high")).alias("u")).distinct()
-        more = mixed_.where(F.xxhash64(F.lit(turn), "comp") != F.col("_h")).select("k", F.explode(F.array("low", "high")).alias("v")).distinct().join(chief, "k").select("u", "v")
-        fresh = saved(sized(more, nodes, least).join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = saved(alike(fresh, sets, least), "links")
-        if new.isEmpty():
-            break
-        links, tested = links.unionByName(new), tested.unionByName(fresh)
+    # Groups of four and more may hold several components yet: find every pair across components there.
+    left = members.where("m > 3").select("k", "node").join(labels, "node", "left").select("k", "node", F.coalesce("comp", "node").alias("comp"))
+    several = left.groupBy("k").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("k")
+    open_ = saved(left.join(several, "k").select("node", "comp").distinct(), "open-nodes")
+    if not open_.isEmpty():
+        across = saved(crossing(open_, sets, least).join(tested, ["a", "b"], "left_anti"), "crossing")
+        # The likeliest partners of each node come first; what they have linked needs no further test.
+        near = F.row_number().over(W.partitionBy("a").orderBy(F.desc("shared"), "b")) <= FIRST
+        across = saved(across.withColumn("near", near), "crossing-ranked")
+        links = saved(links.unionByName(alike(across.where("near").select("a", "b"), sets, least)), "links")
+        labels = components(links)
+        rest = across.where("not near").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b"))
+        links = saved(links.unionByName(alike(saved(rest.select("a", "b"), "pairs"), sets, least)), "links")
         labels = components(links)
     placed = nodes.join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("comp", "node").alias("comp"))
     classes = placed.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))

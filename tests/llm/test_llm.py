@@ -158,6 +158,21 @@ def test_near_classes(docs):
     assert sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == sorted(set(ids.values()))
 
 
+def test_near_classes_of_one_template(spark):
+    """Pairs of likeness 0.81 among documents that all have 0.75 to each other, so that band groups hold many components."""
+    r = random.Random(21)
+    new = lambda n: [f"w{r.getrandbits(40)}" for _ in range(n)]
+    template = new(244)
+    made = []
+    for _ in range(150):
+        own = template + new(11)
+        made += [" ".join(own + new(29)), " ".join(own + new(29))]
+    a, b, c = (set(runs(made[i])) for i in (0, 1, 2))
+    assert len(a & b) / len(a | b) >= 0.8 > 0.76 > len(a & c) / len(a | c)
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.class_id for x in neardup.near_classes(df).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
 def test_signatures_estimate_weighted_likeness():
     r = np.random.default_rng(5)
     e = r.integers(0, 2**63, 400).astype(np.uint64)
