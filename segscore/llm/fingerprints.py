@@ -2,9 +2,8 @@
 
 A text is its run of words (longer ones cut every 16 characters), lower case. A k-mer of k = 5 words is chosen where the
 least of its inner s-mers (s = 2 words, compared by hash) is the first or the last: the choice looks at the k-mer alone,
-so equal passages give equal anchors wherever they stand. A fingerprint is the `size` least distinct hashes of the chosen
-k-mers, and the likeness of two is the share of common hashes among the least `size` of both, which estimates the
-Jaccard likeness of the anchor sets (exactly so where both together have no more than `size`).
+so equal passages give equal anchors wherever they stand. A fingerprint is all distinct hashes of the chosen k-mers with
+the first place of each, and the likeness of two is the Jaccard likeness of their hashes; it grows with the text.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import pick, saved
 
-SIZE = 64
-
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value), with value computed once."""
@@ -46,20 +43,31 @@ def anchors(text: Column) -> Column:
     return let(words, of_words)
 
 
-def fingerprint(text: Column, size: int = SIZE) -> Column:
-    """array<bigint>: the least distinct anchor hashes, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors(text), lambda a: a["hash"]))), 1, size)
+def fingerprint(text: Column) -> Column:
+    """array<struct<hash bigint, at int>>: every distinct anchor at its first place, by hash."""
+    by_hash = F.sort_array(F.transform(anchors(text), lambda a: F.struct(a["hash"].alias("hash"), a["at"].alias("at"))))
+    return let(by_hash, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["hash"] != x["hash"])))
 
 
 def told(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda h: F.hex(h)), ",")
+    return F.array_join(F.transform(fp, lambda x: F.hex(x["hash"])), ",")
+
+
+def places(a: Column, b: Column) -> Column:
+    """The anchors that two fingerprints share, in text order: array<struct<left int, right int>>, the first places in each."""
+    def side(fp: Column, k: int) -> Column:
+        return F.transform(fp, lambda x: F.struct(x["hash"].alias("hash"), F.lit(k).alias("side"), x["at"].alias("at")))
 
+    def common(s: Column) -> Column:  # a hash of both is at neighbouring places
+        pairs = F.transform(s, lambda x, i: F.struct(x["at"].alias("left"), F.when(F.get(s, i + 1)["hash"] == x["hash"], F.get(s, i + 1)["at"]).alias("right")))
+        return F.sort_array(F.filter(pairs, lambda p: p["right"].isNotNull()))
 
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """0 to 1; two empty fingerprints are alike."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    common = let(both, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.coalesce(common, F.lit(0.0)))
+    return let(F.sort_array(F.concat(side(a, 0), side(b, 1))), common)
+
+
+def likeness(a: Column, b: Column, shared: Column) -> Column:
+    """0 to 1, from two fingerprints and their places(); two empty ones are alike."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(shared) / (F.size(a) + F.size(b) - F.size(shared)))
 
 
 def positional_matches(a: Column, b: Column) -> Column:
@@ -88,24 +96,27 @@ def following(ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_places, next_places.
+
+    One row for every row. The places are where its anchors stand in it and in the edited text, or the next document.
 
     The edited text is the first n - floor(n / 2) code points and the first floor(n / 2) (or all) of the next document.
     A null text is empty. Among rows of one doc_id, the next document is the text of the least hash, and each row is
-    edited by its own length. Rows of a null doc_id have no next document: the half is dropped and near_next is null.
+    edited by its own length. Rows of a null doc_id have no next document: the half is dropped, near_next and next_places are null.
     An empty table gives no rows; further columns are ignored.
     """
     base = pick(docs, doc_id=key, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     numbered = base.where("doc_id is not null")
-    after = following(numbered.groupBy("doc_id").agg(F.max(half).alias("half")))
-    after = after.select(F.col("doc_id").alias("prev_id"), "half", F.col("next_id").alias("doc_id"))
+    after = following(numbered.select("doc_id").distinct()).select(F.col("doc_id").alias("prev_id"), F.col("next_id").alias("doc_id"))
     own = numbered.repartition("doc_id")  # both joins read this one exchange
     one = own.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_r = 1")
-    heads = one.join(after, "doc_id").select(F.col("prev_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("half")).alias("head"), fingerprint(F.col("text")).alias("next_fp"))
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.coalesce(F.substring("head", F.lit(1), half), F.lit("")))
-    alone = base.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("next_fp"))
-    rows = own.join(heads, "doc_id", "left").select("doc_id", "text", "head", "next_fp").unionByName(alone).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), fingerprint(F.col("text")).alias("fp"), "next_fp")
+    heads = one.join(after, "doc_id").select(F.col("prev_id").alias("doc_id"), F.col("text").alias("next"))
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.coalesce(F.substring("next", F.lit(1), half), F.lit("")))
+    alone = base.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("next"))
+    rows = own.join(heads, "doc_id", "left").select("doc_id", "text", "next").unionByName(alone).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), fingerprint(F.col("text")).alias("fp"), F.when(F.col("next").isNotNull(), fingerprint(F.col("next"))).alias("next_fp"))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fp", fingerprint(F.col("edited")).alias("efp"), "next_fp")
-    near_next = F.when(F.col("next_fp").isNotNull(), likeness(F.col("fp"), F.col("next_fp")))
-    return rows.select("doc_id", "n_chars", "edited_sha256", told(F.col("fp")).alias("fingerprint"), told(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), near_next.alias("near_next"))
+    rows = rows.withColumn("edited_places", places(F.col("fp"), F.col("efp"))).withColumn("next_places", F.when(F.col("next_fp").isNotNull(), places(F.col("fp"), F.col("next_fp"))))
+    near_next = F.when(F.col("next_fp").isNotNull(), likeness(F.col("fp"), F.col("next_fp"), F.col("next_places")))
+    near_edited = likeness(F.col("fp"), F.col("efp"), F.col("edited_places"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", told(F.col("fp")).alias("fingerprint"), told(F.col("efp")).alias("edited_fingerprint"), near_edited.alias("near_edited"), near_next.alias("near_next"), "edited_places", "next_places")

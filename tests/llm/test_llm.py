@@ -473,6 +473,24 @@ def test_fingerprints(docs):
     assert all(x.near_next is None for x in got if x.doc_id is None)
 
 
+def test_likeness_is_of_all_anchors(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    words = lambda n: [f"w{r.getrandbits(40)}" for _ in range(n)]
+    passage = words(60)
+    made = [(1, " ".join(words(2500) + passage + words(2500))), (2, " ".join(words(700) + passage + words(4000))), (3, " ".join(words(300) * 3)), (4, "")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    hashes = {x.doc_id: [(a["hash"], a["at"]) for a in x.a] for x in df.select("doc_id", fingerprints.anchors(F.col("text")).alias("a")).collect()}
+    for x in fingerprints.fingerprint_documents(df).collect():
+        first, other = ({h: at for h, at in reversed(hashes[d])} for d in (x.doc_id, x.doc_id % 4 + 1))
+        both = first.keys() & other.keys()
+        assert len(x.fingerprint.split(",")) == max(1, len(first))
+        assert x.near_next == (len(both) / len(first.keys() | other.keys()) if first or other else 1.0)
+        assert [tuple(p) for p in x.next_places] == sorted((first[h], other[h]) for h in both)
+        if x.doc_id == 1:
+            assert len(both) > 15 and {a - b for a, b in x.next_places} == {1800} and 0 < x.near_next < 0.02
+
 def test_anchors_are_context_free(spark):
     from pyspark.sql import functions as F
 
