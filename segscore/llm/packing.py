@@ -5,7 +5,9 @@ the rest is routed to the smallest tier that holds it. Each tier is packed from
 of its tier, and the gap behind it is filled with rests of shorter tiers, the longest that fits first; where none fits,
 one is cut to fill the gap exactly. What a task has left at its end is cut along powers of two, so no sequence is padded.
 
-Sequences of a tier are dealt to step groups in turn, so that every group holds the same mix of lengths.
+Step groups are balanced over the whole output: the sequences of a length are numbered across tasks, by the counts that
+each task reports, and dealt to the groups in turn; what is left of a length, fewer than there are groups, goes to those
+with the least tokens so far. So groups hold the same mix of lengths, and differ by less than one sequence in tokens.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, slices, texts
+from .common import pick, saved, slices, texts, tidy
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
+FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "task", "turn")
 
 
 class WordEncoder:
@@ -31,15 +35,21 @@ class WordEncoder:
 
     No word of such a tokenizer crosses a space or a line end, and a full stop or comma between letters, digits or white
     space is a word of its own; so texts are lowered, cut there, and the words looked up. What is new in a run of texts
-    goes to the library in one call, the words apart by a special token. Texts in which such a mark touches another one,
-    whose lower case depends on context, or that aren't in normal form, are cut at spaces only. The memo has two generations of `memo` words: what
-    is in use moves to the younger one, the older one is dropped when that is full.
+    goes to the library in one call. Plain words are joined by spaces, and the ids cut where the library's own rule ends
+    as many pieces as a word has (every piece's last id is one of a piece's end); others are held apart by a special token.
+    Texts in which such a mark touches another one, whose lower case depends on context, or that aren't in normal form,
+    are cut at spaces only. The memo has two generations of `memo` words: what is in use moves to the younger one, the
+    older one is dropped when that is full.
     """
 
+    #: The pieces that the vocabulary's file names (a fixed value), and words that no neighbour can change.
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    PLAIN = re.compile(r"[!-~]+")
+
     #: A full stop or comma beside another character that is neither a letter, a digit nor white space to the tokenizer.
     TOUCHING = re.compile(r"[.,](?:(?=[^\w\s]|[_\x1c-\x1f])|(?<=[^\w\s].)|(?<=[_\x1c-\x1f].))")
 
-    def __init__(self, path: str, end_id: int, memo: int = 500_000, longest: int = 64) -> None:
+    def __init__(self, path: str, end_id: int, memo: int = 200_000, longest: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,11 +59,33 @@ class WordEncoder:
         self.mark_id, mark = next((i, t) for i, t in special.items() if t.special and not (t.lstrip or t.rstrip))
         self.mark, self.specials = mark.content, [t.content for t in special.values()]
         self.end = np.asarray([end_id], "<u4").tobytes()
+        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.final = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.final[ends] = True
         self.memo, self.longest = memo, longest
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def library(self, words: list[str]) -> list[bytes]:
+        """The ids of every word."""
+        plain = [w for w in words if self.PLAIN.fullmatch(w) and not any(map(w.__contains__, self.specials))]
+        found = dict(zip(plain, self.joined(plain), strict=True)) if plain else {}
+        others = [w for w in words if w not in found]
+        if others:
+            found.update(zip(others, self.apart(others), strict=True))
+        return [found[w] for w in words]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        pieces = np.fromiter((1 if w.isalpha() else len(self.PIECES.findall(w)) for w in words), np.int64, len(words))
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) != pieces.sum() or (pieces == 0).any():
+            return self.apart(words)
+        at = (ends[np.cumsum(pieces) - 1] * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
+
+    def apart(self, words: list[str]) -> list[bytes]:
         ids = np.asarray(self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids, "<u4")
         at = (np.flatnonzero(ids == self.mark_id) * 4).tolist()
         if len(at) != len(words) - 1:  # a word has the mark itself
@@ -89,11 +121,11 @@ class WordEncoder:
 class Packer:
     """Packs (document, start, ids) pieces; emits a tuple per placed piece."""
 
-    def __init__(self, tiers: tuple[int, ...], first_id: int, groups: int) -> None:
+    def __init__(self, tiers: tuple[int, ...], task: int) -> None:
         self.tiers = sorted(tiers, reverse=True)
         self.pools = {t: deque() for t in self.tiers}
-        self.next_id, self.groups = first_id, groups
-        self.dealt = dict.fromkeys(self.tiers, 0)
+        self.task, self.next_id = task, task << 40
+        self.dealt: dict[int, int] = {}
         self.rows: list[tuple] = []
 
     def tier(self, n: int) -> int:
@@ -105,7 +137,7 @@ class Packer:
         at = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next_id, at, length, turn % self.groups))
+            self.rows.append((doc, start, n, zlib.crc32(ids), total, self.next_id, at, length, self.task, turn))
             at += n
         self.next_id += 1
 
@@ -164,20 +196,38 @@ class Packer:
         self.pools = {t: deque() for t in self.tiers}
 
 
+def step_group(counts: dict[int, int], groups: int) -> Column:
+    """The group of a sequence by its length and its number among all of that length, from the lengths' counts."""
+    tokens, rests = [0] * groups, {}
+    for length in sorted(counts, reverse=True):
+        turns, left = divmod(counts[length], groups)
+        tokens = [x + turns * length for x in tokens]
+        rests[length] = sorted(range(groups), key=lambda g: (tokens[g], g))[:left]  # noqa: B023  used at once
+        for g in rests[length]:
+            tokens[g] += length
+    number, out = F.col("_number"), F.pmod(F.col("_number"), F.lit(groups))
+    for length, rest in rests.items():
+        full = counts[length] - len(rest)
+        if rest:
+            late = F.get(F.array(*map(F.lit, rest)), (number - full).cast("int"))
+            out = F.when((F.col("sequence_length") == length) & (number >= full), late).otherwise(out)
+    return out.cast("long")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = (512, 1024, 2048, 4096), groups: int = 8, buffer: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, step_group.
 
-    Each task packs its own documents, `buffer` at a time, so no shuffle is needed and memory holds the buffer's rests.
+    Each task packs its own documents, `buffer` at a time, so no text is shuffled and memory holds the buffer's rests.
     A null or empty text is the end id alone; a document longer than the longest tier is cut; repeated rows and null
     keys are packed like any row; an empty table gives no pieces; further columns are ignored.
     """
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")])
+    schema = pa.schema([(c, pa.int64()) for c in FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode = WordEncoder(tokenizer, end_id)
-        packer = Packer(tiers, TaskContext.get().partitionId() << 40, groups)
+        packer = Packer(tiers, TaskContext.get().partitionId())
 
         def out() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
@@ -197,4 +247,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
         if packer.rows:
             yield out()
 
-    return pick(docs, _key=key, _text=text).withColumn("_key", F.col("_key").cast("long")).mapInArrow(run, PIECE)
+    own = pick(docs, _key=key, _text=text).withColumn("_key", F.col("_key").cast("long"))
+    pieces = saved(own.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in FIELDS)), "pieces")
+    # A row per task and length; a length is a power of two up to the longest tier, so there are few of them.
+    counts = pieces.where("offset = 0").groupBy("sequence_length", "task").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy("sequence_length").orderBy("task")) - F.col("_n")).drop("_n")
+    by_length = {x["sequence_length"]: x["n"] for x in pieces.where("offset = 0").groupBy("sequence_length").agg(F.count("*").alias("n")).collect()}
+    numbered = pieces.join(before, ["sequence_length", "task"]).withColumn("_number", F.col("_before") + F.col("turn"))
+    return numbered.select(*FIELDS[:-2], step_group(by_length, groups).alias("step_group"))

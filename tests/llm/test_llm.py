@@ -87,6 +87,18 @@ def test_packing_holds_every_id_once(docs):
         assert ends[-1] & (ends[-1] - 1) == 0  # powers of two: nothing to pad
 
 
+def test_step_groups_are_balanced_over_tasks(docs):
+    pieces = packing.pack_documents(docs.repartition(64), WORD, groups=4).collect()
+    of = {p.sequence_id: (p.step_group, p.sequence_length) for p in pieces}
+    tokens, number = Counter(), Counter()
+    for g, n in of.values():
+        tokens[g] += n
+        number[(n, g)] += 1
+    assert set(tokens) == {0, 1, 2, 3} and max(tokens.values()) - min(tokens.values()) < 4096  # less than one sequence
+    assert all(len({p.step_group for p in pieces if p.sequence_id == s}) == 1 for s in list(of)[:20])
+    assert all(max(number[(n, g)] for g in range(4)) - min(number[(n, g)] for g in range(4)) <= 1 for n, _ in number)
+
+
 def test_word_encoder_equals_the_library():
     t = Tokenizer.from_file(WORD)
     r = random.Random(1)
@@ -357,7 +369,10 @@ def test_quality_rules(docs):
         want[(d, *m, m[0] < 10 or 100 * m[4] > 20 * m[0])] += 1
     assert got == want
     kept = rules.keep_good(docs)
-    assert kept.columns == docs.columns and kept.count() == rules.judge(docs).where("kept").count()
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    judged = Counter(x.doc_id for x in rules.judge(docs).where("kept").collect())
+    assert Counter(x.doc_id for x in kept.collect()) == judged
+    assert not Counter(tuple(x) for x in kept.collect()) - Counter(rows())  # whole rows, as they were
 
 
 def test_kept_with_planted_junk(spark):
@@ -370,19 +385,26 @@ def test_kept_with_planted_junk(spark):
     def repeated() -> str:  # short lines three times, between long ones: few words, many lines
         return "\n".join(x for _ in range(6) for v in [word() + " " + word()] for x in (v, " ".join(word() for _ in range(12)), v, v))
 
-    def brute(own: list[tuple]) -> set[int]:
+    def ratios(own: list[tuple], failed: bool) -> dict:
         ratios = {}
         for d, x in own:
             n, chars, symbols, dup, hit = measures(x)
-            if n >= 10 and 100 * hit <= 20 * n:
+            if n and (failed or n >= 10 and 100 * hit <= 20 * n):
                 ratios[d] = (symbols / n, dup / sum(bool(v.strip()) for v in x.split("\n")), chars / n)
-        out = set(ratios)
-        for i, room in enumerate((0.1, 0.35, 2.0)):
-            of = sorted(v[i] for v in ratios.values())
-            low, mid, high = (of[int(np.ceil(len(of) * q)) - 1] for q in (0.25, 0.5, 0.75))
-            least = max(room, mid / 2)
-            out -= {d for d, v in ratios.items() if not mid - max(4 * (mid - low), least) <= v[i] <= mid + max(4 * (high - mid), least)}
-        return out
+        return ratios
+
+    def brute(groups: dict[int, list[tuple]]) -> set[int]:
+        every, kept = [v for own in groups.values() for v in ratios(own, True).values()], set()
+        quartiles = lambda of: [sorted(of)[int(np.ceil(len(of) * q)) - 1] for q in (0.25, 0.5, 0.75)]
+        for own in groups.values():
+            part, good = ratios(own, True), ratios(own, False)
+            for i, room in enumerate((0.1, 0.35, 2.0)):
+                # One language, so its blend with all documents is that of all documents.
+                low, mid, high = ((len(part) * x + 200 * y) / (len(part) + 200) for x, y in zip(quartiles([v[i] for v in part.values()]), quartiles([v[i] for v in every]), strict=True))
+                least = max(room, mid / 2)
+                good = {d: v for d, v in good.items() if mid - max(4 * (mid - low), least) <= v[i] <= mid + max(4 * (high - mid), least)}
+            kept |= set(good)
+        return kept
 
     for kinds in ((piped,), (marked,), (repeated,), (piped, marked, repeated)):
         made, groups, junk = [], defaultdict(list), set()
@@ -395,7 +417,7 @@ def test_kept_with_planted_junk(spark):
                 made.append((d, x, "en", f"s{share}"))
                 groups[share].append((d, x))
         got = {x.doc_id for x in rules.judge(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).where("kept").collect()}
-        assert got == set().union(*map(brute, groups.values())) == set(range(len(made))) - junk
+        assert got == brute(groups) == set(range(len(made))) - junk
 
 
 def test_quantiles_of_merged_sketches_are_near_exact(spark):
