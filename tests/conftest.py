@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from segscore.session import session
 
-    s = session("local[4]", 4, **{"spark.driver.memory": "3g", "spark.sql.warehouse.dir": "/tmp/segscore-warehouse"})
+    s = session("local[4]", 4, **{"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "3g", "spark.sql.warehouse.dir": "/tmp/segscore-warehouse"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
