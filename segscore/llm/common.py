@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,10 +34,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+def saved(df: DataFrame, name: str, done: tuple[DataFrame, ...] = (), last: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: the lineage ends there, on storage that outlives executors.
 
-    done: earlier saved tables that only df needed; their files go once df is written.
+    done: earlier saved tables that only df needed; their files go once df is written. last: shuffles of large rows end
+    here, and collect() gives their files back.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -46,9 +48,19 @@ def saved(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFra
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     out = spark.read.schema(df.schema).parquet(path)
     out.path_ = path
+    if last:
+        del df
+        collect(spark)
     return out
 
 
+def collect(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nobody holds any more; else they stay until the driver's JVM
+    happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def position(key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("position"), key), F.lit(POSITIONS))
 
