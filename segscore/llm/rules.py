@@ -2,8 +2,9 @@
 
 Every document gets the fixed base measures and some ratios. The ratios go into mergeable quantile sketches per
 (lang, source): counts over logarithmic bins of a bounded relative error, so that sketches of parts, of a language, and
-of all documents are sums of counts. A document is rejected where a ratio lies far outside its own group's spread.
-Groups of few documents use their language's sketch, and small languages that of all documents.
+of all documents are sums of counts. A document is rejected where a ratio lies far outside its own group's spread. The
+quantiles of a group are blended with those of its language, and these with those of all documents, each by the number of
+documents behind it, so that small groups lean on larger ones and none is left out.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pick, saved, slices, texts
+from .common import pick, saved, slices, texts, tidy
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -26,6 +27,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "word_length": "word_chars / n_words"}
 ROOM = {"symbols": 0.1, "dup_lines": 0.35, "word_length": 2.0}
 GROWTH = 1.02
+#: Words that a task numbers before it starts anew, and the weight of the larger group in a blend, in documents.
+MEMO, PRIOR = 200_000, 200
 
 
 def repeated_words(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -66,34 +69,37 @@ def repeated_words(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarra
     return out
 
 
-def measure(docs: DataFrame, width: int = 5, keep: tuple[str, ...] = ("lang", "source"), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key, `keep`, the number of non-blank lines, and the base measures of every row's whole text; a null text has no words, lines or symbols."""
-    names = ["_key", *(f"_k{i}" for i in range(len(keep))), "n_lines", *BASE]
+def measure(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The given columns as _k0, _k1, ..., the number of non-blank lines, and the base measures of every row's whole text.
+
+    A null text has no words, lines or symbols.
+    """
+    names = [f"_k{i}" for i in range(len(columns))]
+    at = columns.index(text) if text in columns else len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for batch in slices(batches, "_text", 4 << 20):
-            bodies = texts(batch, "_text")
+        for batch in slices(batches, f"_k{at}", 4 << 20):
             ids, starts, rows, total = [], [], [], 0
-            if len(known) > 400_000:
+            if len(known) > MEMO:
                 known.clear()
-            for body in bodies:
+            for body in texts(batch, f"_k{at}"):
                 words = body.encode().split()
                 for w in words:
                     if w not in known:
                         known[w] = len(known)
-                ids.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+                ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 starts.append(total)
                 total += len(words)
                 lines = [x for x in body.split("\n") if x.strip(SPACES)]
                 rows.append((len(lines), len(words), len(body) - sum(map(body.count, SPACES)), sum(map(body.count, SYMBOLS)), len(lines) - len(set(lines))))
-            repeats = repeated_words(np.concatenate(ids), np.array(starts), width)
-            kept = [batch.column(c) for c in names[: 1 + len(keep)]]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(repeats)], names=names)
+            repeats = repeated_words(np.concatenate(ids), np.array(starts), width=5)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(repeats)], names=[*names, "n_lines", *BASE])
 
-    rows = pick(docs, _key=key, **{f"_k{i}": c for i, c in enumerate(keep)}, _text=text)
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{c} long" for c in ("n_lines", *BASE)]
-    return rows.mapInArrow(run, ", ".join(fields)).withColumnsRenamed({"_key": key, **{f"_k{i}": c for i, c in enumerate(keep)}})
+    given = columns if text in columns else [*columns, text]
+    rows = pick(docs, **{f"_k{i}": c for i, c in enumerate(given)})
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(columns)]] + [f"{c} long" for c in ("n_lines", *BASE)]
+    return rows.mapInArrow(tidy(run), ", ".join(fields))
 
 
 def sketch(values: DataFrame, by: list[str]) -> DataFrame:
@@ -115,7 +121,7 @@ def quantiles(sketches: DataFrame, by: list[str], at: dict[str, float]) -> DataF
     return rows.groupBy(*by, "metric").agg(F.first("total").alias("total"), *(F.min(F.when(F.col("upto") >= F.col("total") * q, value)).alias(name) for name, q in at.items()))
 
 
-def thresholds(measured: DataFrame, spread: float, least: int) -> DataFrame:
+def thresholds(measured: DataFrame, spread: float, prior: float) -> DataFrame:
     """lang, source and one upper and lower bound per ratio.
 
     A bound is the median plus or minus `spread` times the distance from the median to the upper (lower) quartile, which
@@ -129,40 +135,57 @@ def thresholds(measured: DataFrame, spread: float, least: int) -> DataFrame:
     lang = quantiles(merged(fine, ["lang"]), ["lang"], at).select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), *(F.col(c).alias(f"l_{c}") for c in ("total", *at)))
     every = quantiles(merged(fine, []), [], at).select(F.col("metric").alias("a_metric"), *(F.col(c).alias(f"a_{c}") for c in at))
     both = group.join(lang, group["lang"].eqNullSafe(lang["l_lang"]) & (group["metric"] == lang["l_metric"])).join(F.broadcast(every), F.col("metric") == F.col("a_metric"))  # `every` has a row per ratio
-    low, mid, high = (F.when(F.col("total") >= least, F.col(c)).when(F.col("l_total") >= least, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")) for c in at)
+
+    def blended(c: str) -> Column:
+        whole = (F.col("l_total") * F.col(f"l_{c}") + prior * F.col(f"a_{c}")) / (F.col("l_total") + prior)
+        return (F.col("total") * F.col(c) + prior * whole) / (F.col("total") + prior)
+
+    low, mid, high = map(blended, at)
     least_room = F.create_map(*(F.lit(x) for pair in ROOM.items() for x in pair))
     room = F.greatest(mid * 0.5, F.element_at(least_room, F.col("metric")))
     rows = both.select("lang", "source", "metric", (mid + F.greatest((high - mid) * spread, room)).alias("upper"), (mid - F.greatest((mid - low) * spread, room)).alias("lower"))
-    return rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in RATIOS for c in ("upper", "lower")))
-
+    # Saved, so that the planner knows its size: a small table goes to the rows, a large one is joined by shuffle.
+    return saved(rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in RATIOS for c in ("upper", "lower"))), "bounds", (fine,))
 
-def judge(docs: DataFrame, spread: float = 4.0, least: int = 200, salts: int = 16, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang, source, the columns of `also`, the base measures, base_failed, kept for every row.
 
-    base_failed: under 10 words, or more than a fifth of the words lie in repeated 5-word windows. kept: not failed, and
-    every ratio lies within its group's thresholds. Null lang or source is a group like any other. A null or empty text
-    fails for lack of words; repeated rows are judged each; an empty table gives no rows; further columns are ignored.
-    """
-    measured = saved(measure(docs, keep=("lang", "source", *also)), "measures")
-    bounds = thresholds(measured, spread, least)
-    # A hot source meets its bounds in `salts` tasks: bounds are repeated, rows are dealt by a hash of their id.
-    salted = measured.withColumn("_s", F.pmod(F.xxhash64("doc_id", *BASE), F.lit(salts)))
+def verdicts(measured: DataFrame, narrow: DataFrame, spread: float, prior: float, salts: int) -> DataFrame:
+    """measured (any columns, _lang, _source and the measures) with base_failed and kept; narrow: lang, source, measures."""
+    bounds = thresholds(narrow, spread, prior)
+    # Beyond the size of a broadcast, a hot source meets its bounds in `salts` tasks: these are repeated, rows are dealt out.
+    salted = measured.withColumn("_s", F.pmod(F.xxhash64("_k0", *BASE), F.lit(salts)))
     null = F.lit("\0null")
     bounds = bounds.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     bounds = bounds.select("_s", F.coalesce("lang", null).alias("_l"), F.coalesce("source", null).alias("_o"), *(f"{m}_{c}" for m in RATIOS for c in ("upper", "lower")))
-    joined = salted.withColumn("_l", F.coalesce("lang", null)).withColumn("_o", F.coalesce("source", null)).join(bounds, ["_s", "_l", "_o"], "left")
+    joined = salted.withColumn("_l", F.coalesce("_lang", null)).withColumn("_o", F.coalesce("_source", null)).join(bounds, ["_s", "_l", "_o"], "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
     def inside(metric: str) -> Column:
         x = F.expr(f"try_divide({RATIOS[metric].replace(' /', ',')})").cast("double")
         return F.coalesce(x.between(F.col(f"{metric}_lower"), F.col(f"{metric}_upper")), F.lit(True))
 
-    verdict = inside("symbols") & inside("dup_lines") & inside("word_length")
-    return joined.select("doc_id", "lang", "source", *also, *BASE, failed.alias("base_failed"), (~failed & verdict).alias("kept"))
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside("symbols") & inside("dup_lines") & inside("word_length"))
 
 
-def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """docs without the rows that judge() rejects."""
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    rejected = judge(own, also=("_row",), **how).where("not kept").select("_row").distinct()
-    return own.join(rejected, "_row", "left_anti").select(*docs.columns)
+def judge(docs: DataFrame, spread: float = 4.0, prior: float = PRIOR, salts: int = 16) -> DataFrame:
+    """doc_id, lang, source, the base measures, base_failed, kept for every row.
+
+    base_failed: under 10 words, or more than a fifth of the words lie in repeated 5-word windows. kept: not failed, and
+    every ratio lies within its group's thresholds. Null lang or source is a group like any other. A null or empty text
+    fails for lack of words; repeated rows are judged each; an empty table gives no rows; further columns are ignored.
+    """
+    measured = saved(measure(docs, ["doc_id", "lang", "source"]).withColumnsRenamed({"_k1": "lang", "_k2": "source"}), "measures")
+    rows = measured.withColumns({"_lang": F.col("lang"), "_source": F.col("source")})
+    return verdicts(rows, measured, spread, prior, salts).select(F.col("_k0").alias("doc_id"), "lang", "source", *BASE, "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, spread: float = 4.0, prior: float = PRIOR, salts: int = 16) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns, whatever the names.
+
+    A null or empty text goes for lack of words; every row is judged for itself, so that of repeated rows all stay or
+    all go; an empty table stays empty. The rows are measured and written once, and judged where they lie.
+    """
+    measured = saved(measure(docs, docs.columns), "measured-rows")
+    lang, source = (F.col(f"_k{docs.columns.index(c)}") for c in ("lang", "source"))
+    rows = measured.withColumns({"_lang": lang, "_source": source})
+    narrow = measured.select(lang.alias("lang"), source.alias("source"), "n_lines", *BASE)
+    return verdicts(rows, narrow, spread, prior, salts).where("kept").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)))
