@@ -25,16 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved, slices
+from .common import marked, pick, saved, slices, tidy
 
 ANCHOR = 24
 U64 = np.uint64
 #: Windows of a document that are searched at once, and occurrences above which an anchor's segments are cut up.
 BLOCK, HOT = 1 << 19, 4096
-BROADCAST_SPANS = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -121,32 +120,31 @@ def bodies_of(batch: pa.RecordBatch) -> list[bytes]:
 # ---- 1: which anchors occur more than once
 
 
-def anchor_blobs(docs: DataFrame, width: int, buckets: int, directory: bool) -> DataFrame:
-    """Per run of rows (slice) and bucket the anchors' 32-bit hashes; or per slice the rows and their anchors' buckets."""
+def anchor_blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Per run of rows (slice) and bucket the anchors' 32-bit hashes; at bucket -1 the slice's rows and their anchors' buckets.
+
+    Both come from one pass and are written before use: a slice is only known by its place in the task that made it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = -1
         for batch in slices(batches, "_text", 4 << 20):
             if number < 0:
                 number = batch.column("_part")[0].as_py() << 32
-            bodies = bodies_of(batch)
-            text, _, _, _, h = all_runs(bodies, width)
+            text, _, _, _, h = all_runs(bodies_of(batch), width)
             g = remix(h)
             bucket = (g >> U64(32)) % U64(buckets)
-            if directory:
-                rows = np.array(batch.column("_row").to_numpy(zero_copy_only=False))
-                n = np.bincount(text, minlength=len(rows))
-                told = [number], [-1], [zlib.compress(rows.tobytes() + n.astype(np.int64).tobytes() + bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32).tobytes(), 1)]
-            else:
-                order = np.argsort(bucket.astype(np.uint32), kind="stable")
-                keys, b = (g & U64(0xFFFFFFFF)).astype(np.uint32)[order], bucket[order]
-                cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, int)
-                told = [number] * len(cut), b[cut].astype(np.int64), [x.tobytes() for x in np.split(keys, cut[1:])] if len(cut) else []
-            yield pa.RecordBatch.from_arrays([pa.array(told[0], pa.int64()), pa.array(told[1], pa.int64()), pa.array(told[2], pa.binary())], names=["slice", "bucket", "blob"])
+            rows, ids = (np.array(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("_row", "_doc"))
+            n = np.bincount(text, minlength=len(rows))
+            held = rows.tobytes() + ids.tobytes() + n.astype(np.int64).tobytes() + bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32).tobytes()
+            order = np.argsort(bucket.astype(np.uint32), kind="stable")
+            keys, b = (g & U64(0xFFFFFFFF)).astype(np.uint32)[order], bucket[order]
+            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, int)
+            parts = [x.tobytes() for x in np.split(keys, cut[1:])] if len(cut) else []
+            yield pa.RecordBatch.from_arrays([pa.array([number] * (len(cut) + 1), pa.int64()), pa.array([-1, *b[cut].tolist()], pa.int64()), pa.array([zlib.compress(held, 1), *parts], pa.binary())], names=["slice", "bucket", "blob"])
             number += 1
 
-    # The partition's own number, the same in both uses of this function, whatever plan stands around it.
-    return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(run, "slice long, bucket long, blob binary")
+    return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(tidy(run), "slice long, bucket long, blob binary")
 
 
 def shared_bits(table: pa.Table) -> pa.Table:
@@ -168,20 +166,19 @@ def row_bits(table: pa.Table, buckets: int) -> pa.Table:
     blobs = {b: zlib.decompress(x) for b, x in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True)}
     raw = blobs.pop(-1)
     total = len(raw)
-    # rows (8 bytes) and counts (8 bytes) each, then 2 or 4 bytes per anchor.
+    # rows, ids and counts (8 bytes each), then 2 or 4 bytes per anchor.
     per = sum(map(len, blobs.values()))
     wide = 2 if buckets <= 1 << 16 else 4
-    n_rows = (total - wide * per) // 16
-    rows = np.frombuffer(raw, np.int64, n_rows)
-    counts = np.frombuffer(raw, np.int64, n_rows, 8 * n_rows)
-    bucket = np.frombuffer(raw, np.uint16 if wide == 2 else np.uint32, per, 16 * n_rows)
+    n_rows = (total - wide * per) // 24
+    rows, ids, counts = (np.frombuffer(raw, np.int64, n_rows, 8 * i * n_rows) for i in range(3))
+    bucket = np.frombuffer(raw, np.uint16 if wide == 2 else np.uint32, per, 24 * n_rows)
     bits = np.zeros(per, np.uint8)
     order = np.argsort(bucket, kind="stable")
     if per:
         bits[order] = np.concatenate([np.frombuffer(blobs[b], np.uint8) for b in sorted(blobs)])
     parts = np.split(bits, np.cumsum(counts)[:-1])
     keep = [i for i, x in enumerate(parts) if x.any()]
-    return pa.table({"_row": pa.array(rows[keep], pa.int64()), "bits": pa.array([parts[i].tobytes() for i in keep], pa.binary())})
+    return pa.table({"_row": pa.array(rows[keep], pa.int64()), "_doc": pa.array(ids[keep], pa.int64()), "bits": pa.array([parts[i].tobytes() for i in keep], pa.binary())})
 
 
 # ---- 2: segments
@@ -278,7 +275,7 @@ def segment_blobs(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slice", "bucket", "segs", "occ"])
 
-    return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(run, "slice long, bucket long, segs binary, occ binary")
+    return docs.withColumn("_part", F.spark_partition_id()).mapInArrow(tidy(run), "slice long, bucket long, segs binary, occ binary")
 
 
 # ---- 3: merging transforms
@@ -467,39 +464,70 @@ def slice_spans(width: int):
         text, start, end = merged_spans(*np.concatenate(spans, axis=1))
         cut = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, int)
         both = [np.split(x, cut[1:]) if len(cut) else [] for x in (start, end)]
-        return pa.table({"_row": pa.array(rows[text[cut]] if len(cut) else [], pa.int64()), **{c: pa.array(x, pa.list_(pa.int64())) for c, x in zip(("starts", "ends"), both, strict=True)}})
+        return pa.table({"_row": pa.array(rows[text[cut]] if len(cut) else [], pa.int64()), "_doc": pa.array(docs[text[cut]] if len(cut) else [], pa.int64()), **{c: pa.array(x, pa.list_(pa.int64())) for c, x in zip(("starts", "ends"), both, strict=True)}})
 
     return run
 
 
 def later_copies(docs: DataFrame, width: int) -> DataFrame:
-    """_row, n of the rows whose whole text of n bytes is that of a smaller doc_id: all their strings start there too."""
+    """_row, _doc, n of the rows whose whole text of n bytes is that of a smaller doc_id: all their strings start there too."""
     own = docs.where(F.octet_length("_text") >= width).select("_row", "_doc", F.octet_length("_text").alias("n"), F.md5("_text").alias("digest"))
     first = own.groupBy("digest").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last")
-    return saved(own.join(first, "digest").where("_doc > first").select("_row", "n").distinct(), "copies")
+    return saved(own.join(first, "digest").where("_doc > first").select("_row", "_doc", "n").distinct(), "copies")
+
+
+#: A row is known by a 64-bit hash of its id and text, and by its id.
+ROW = ["_row", "_doc"]
 
 
 def repeated_spans(docs: DataFrame, width: int, shards: int) -> DataFrame:
-    """_row, starts, ends of the byte spans to remove; docs: _row, _doc, _text (binary)."""
+    """_row, _doc, starts, ends of the byte spans to remove; docs: _row, _doc, _text (binary)."""
     copies = later_copies(docs, width)
     total = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(16, total // (8 << 20))
-    bits = anchor_blobs(docs.select("_row", "_text"), width, buckets, False).groupBy("bucket").applyInArrow(shared_bits, "slice long, bucket long, blob binary")
-    rows = bits.unionByName(anchor_blobs(docs.select("_row", "_text"), width, buckets, True)).groupBy("slice").applyInArrow(lambda t: row_bits(t, buckets), "_row long, bits binary").dropDuplicates(["_row"]).join(copies, "_row", "left_anti")
-    segments = saved(segment_blobs(docs.join(rows, "_row").select("_row", "_doc", "_text", "bits"), width, buckets), "segments")
-    merged = segments.where("bucket >= 0").select("slice", "bucket", "segs").groupBy("bucket").applyInArrow(merge_bucket(width, shards), "slice long, bucket long, segs binary, occ binary")
+    blobs = saved(anchor_blobs(docs, width, buckets), "anchors")
+    bits = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(tidy_table(shared_bits), "slice long, bucket long, blob binary")
+    rows = bits.unionByName(blobs.where("bucket = -1")).groupBy("slice").applyInArrow(lambda t: row_bits(t, buckets), "_row long, _doc long, bits binary").dropDuplicates(ROW).join(copies, ROW, "left_anti")
+    segments = saved(segment_blobs(docs.join(rows, ROW).select("_row", "_doc", "_text", "bits"), width, buckets), "segments", (blobs,), last=True)
+    merged = segments.where("bucket >= 0").select("slice", "bucket", "segs").groupBy("bucket").applyInArrow(tidy_table(merge_bucket(width, shards)), "slice long, bucket long, segs binary, occ binary")
     # segments keep their occurrences here; what was sent to the buckets stays behind.
     held = segments.select("slice", "bucket", F.lit(None).cast("binary").alias("segs"), "occ")
-    spans = held.unionByName(merged).groupBy("slice").applyInArrow(slice_spans(width), "_row long, starts array<long>, ends array<long>").dropDuplicates(["_row"])
-    whole = copies.select("_row", F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.col("n").cast("long")).alias("ends"))
-    spans = saved(spans.unionByName(whole), "spans")
-    # Up to a million spans (16 MB) go to every executor, and texts stay where they are; beyond that both sides are shuffled.
-    return F.broadcast(spans) if (spans.agg(F.sum(F.size("starts"))).first()[0] or 0) <= BROADCAST_SPANS else spans
+    spans = held.unionByName(merged).groupBy("slice").applyInArrow(slice_spans(width), "_row long, _doc long, starts array<long>, ends array<long>").dropDuplicates(ROW)
+    whole = copies.select(*ROW, F.array(F.lit(0).cast("long")).alias("starts"), F.array(F.col("n").cast("long")).alias("ends"))
+    return saved(spans.unionByName(whole), "spans", (segments, copies), last=True)
+
+
+def tidy_table(run):
+    """run on a table, with the memory of its arrays given back afterwards."""
+
+    def go(table: pa.Table) -> pa.Table:
+        out = run(table)
+        for _ in tidy(lambda x: x)(iter(())):
+            pass
+        return out
+
+    return go
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs (_row, _doc and others) with starts and ends, null for rows without spans.
+
+    Rows that surely have none stay where they are; only the rest of the texts meets its spans by a shuffle.
+    """
+    both = marked(docs, "_row", spans.select("_row"))
+    none = F.lit(None).cast("array<long>")
+    return both.where("_maybe").drop("_maybe").join(spans, ROW, "left").unionByName(both.where("not _maybe").drop("_maybe").withColumns({"starts": none, "ends": none}))
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    own = pick(docs, _doc=key, _text=text).select(F.coalesce(F.col("_doc").cast("long"), F.lit(2**63 - 1)).alias("_doc"), F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("_text"))
-    return own.select(F.xxhash64("_doc", "_text").alias("_row"), "_doc", "_text")
+    return pick(docs, _doc=key, _text=text).select(*named("_doc", "_text"))
+
+
+def named(key: str, text: str) -> list[Column]:
+    """_row, _doc, _text (binary) of a row; a null id comes after all others."""
+    doc = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1))
+    body = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
+    return [F.xxhash64(doc, body).alias("_row"), doc.alias("_doc"), body.alias("_text")]
 
 
 def kept_bytes(body: bytes, starts: list[int] | None, ends: list[int] | None) -> bytes:
@@ -528,18 +556,26 @@ def removal_digests(docs: DataFrame, width: int = 50, shards: int = 8, key: str
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = own.join(spans, "_row", "left").select("_doc", "_text", "starts", "ends")
+    joined = with_spans(own, spans).select("_doc", "_text", "starts", "ends")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated bytes gone from its text; parts of characters at cuts go too, null texts stay null."""
+    """docs with the repeated bytes gone from its text; parts of characters at cuts go too.
+
+    A null text stays null, an empty one empty; texts of any length are taken whole; rows of one doc_id never remove from
+    each other; a null doc_id counts as greater than all others. Repeated rows all stay, cut alike. An empty table stays
+    empty; further columns are kept as they are, whatever their names.
+    """
     spans = repeated_spans(keyed(docs, key, text), width, shards)
 
     @F.pandas_udf("string")
     def cut(bodies: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else kept_bytes(b.encode(), None if s is None else list(s), None if e is None else list(e)).decode("utf-8", "ignore") for b, s, e in zip(bodies, starts, ends, strict=True)], dtype=object)
-
-    row = F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
-    joined = docs.withColumn("_row", row).join(spans, "_row", "left")
-    return joined.withColumn(text, cut(text, "starts", "ends")).select(*docs.columns)
+        return pd.Series([kept_bytes(b, None if s is None else list(s), None if e is None else list(e)).decode("utf-8", "ignore") for b, s, e in zip(bodies, starts, ends, strict=True)], dtype=object)
+
+    others = [c for c in docs.columns if c != text]
+    rest = F.struct(F.col(f"`{text}`").isNull().alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("_rest")
+    joined = with_spans(docs.select(*named(key, text), rest), spans)
+    told = F.when(~F.col("_rest.none"), F.when(F.col("starts").isNull(), F.col("_text").cast("string")).otherwise(F.col("_cut")))
+    done = joined.where("starts is null").withColumn("_cut", F.lit(None).cast("string")).unionByName(joined.where("starts is not null").withColumn("_cut", cut("_text", "starts", "ends")))
+    return done.select(*(told.alias(c) if c == text else F.col(f"_rest.c{others.index(c)}").alias(c) for c in docs.columns))
