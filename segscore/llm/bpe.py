@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, texts
+from .common import pick, slices, texts, tidy
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -207,7 +207,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, key: str = "
                 rows.append((doc, len(found), hashlib.sha256(told).hexdigest(), hashlib.sha256(back).hexdigest(), *([found] * ids)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return pick(docs, _key=key, _text=text).withColumn("_key", F.col("_key").cast("long")).mapInArrow(run, ENCODED + ", ids array<int>" * ids)
+    return pick(docs, _key=key, _text=text).withColumn("_key", F.col("_key").cast("long")).mapInArrow(tidy(run), ENCODED + ", ids array<int>" * ids)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -218,4 +218,4 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([automaton.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, text string")

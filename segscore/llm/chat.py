@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, slices, tidy
 
 END = "\n</turn>\n"
 HEAD = re.compile(r"### ((?:\\.|[^\\:])*):\n", re.S)
@@ -57,32 +57,44 @@ def parse(text: str) -> Iterator[tuple[str, str, int, int]]:
         at = stop + len(END)
 
 
-def word_tokens(text: str) -> int:
-    """Words and single marks, a stand-in for any tokenizer's count."""
-    return len(re.findall(r"\w+|[^\w\s]", text))
+class TokenCounter:
+    """The tokens of texts by a tokenizers file, whole batches at a time."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        return [len(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Windows:
     """Takes the turns of one conversation in order and gives its windows."""
 
-    def __init__(self, conv, budget: int, history: int, count: Callable[[str], int]) -> None:
-        self.conv, self.budget, self.history, self.count = conv, budget, history, count
+    def __init__(self, conv, budget: int, history: int) -> None:
+        self.conv, self.budget, self.history = conv, budget, history
         self.system: tuple | None = None
         self.new: list[tuple] = []
         self.context: list[tuple] = []
         self.summed = 0  # tokens of the window so far: the prefix sum less that at the window's start
         self.number = 0
 
-    def add(self, role: str, text: str) -> dict | None:
-        turn = (role, *render(role, text))
-        turn += (self.count(turn[1]),)
+    def add(self, role: str, rendered: tuple[str, int, int], tokens: int) -> dict | None:
+        turn = (role, *rendered, tokens)
         out = None
-        if self.new and self.summed + turn[4] > self.budget:
+        if self.new and self.summed + tokens > self.budget:
             out = self.flush()
+        if not self.new:  # repeated history gives way to the first new turn, the oldest first
+            while self.context and self.context[-1] is not self.system and self.summed + tokens > self.budget:
+                gone = self.context.pop(0 if self.context[0] is not self.system else 1)
+                self.summed -= gone[4]
         if role == "system" and self.system is None:
             self.system = turn
         self.new.append(turn)
-        self.summed += turn[4]
+        self.summed += tokens
         return out
 
     def flush(self) -> dict:
@@ -108,25 +120,29 @@ class Windows:
         return out
 
 
-def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 128, count: Callable[[str], int] = word_tokens) -> DataFrame:
+def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024, history: int = 128) -> DataFrame:
     """One row per window: conv_id, window, text, loss (code-point spans), new_from, tokens.
 
+    tokens: the sum of the formatted turns' tokens by `tokenizer`; over the budget only where one new turn, with the
+    system turn that stands before it, is. Such a turn is not cut and has no other new turn or history beside it.
     Null roles and texts count as empty. Turns of equal number (and null numbers, which come first) are ordered by role
-    and text; repeated rows stay. A turn longer than the budget fills a window of its own, whole. The rows of a null
-    conv_id form one conversation. An empty table gives no windows; further columns are ignored.
+    and text; repeated rows stay. The rows of a null conv_id form one conversation, and one conversation is one task's
+    work, streamed. An empty table gives no windows; further columns are ignored.
     """
     rows = pick(conversations, _c="conv_id", _t="turn", _r="role", _x="text").select(F.col("_c").cast("long").alias("_c"), "_t", F.coalesce("_r", F.lit("")).alias("_r"), F.coalesce("_x", F.lit("")).alias("_x"))
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("new_from", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = TokenCounter(tokenizer)
         now, ready, size = None, [], 0
-        for batch in batches:
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("_c", "_r", "_x")), strict=True):
+        for batch in slices(batches, "_x", 4 << 20):
+            turns = [(c, r, render(r, x)) for c, r, x in zip(*(batch.column(c).to_pylist() for c in ("_c", "_r", "_x")), strict=True)]
+            for (conv, role, rendered), tokens in zip(turns, count([x[2][0] for x in turns]), strict=True):
                 if now is None or conv != now.conv:
                     if now is not None:
                         ready.append(now.flush())
-                    now = Windows(conv, budget, history, count)
-                if done := now.add(role, text):
+                    now = Windows(conv, budget, history)
+                if done := now.add(role, rendered, tokens):
                     ready.append(done)
                     size += len(done["text"])
                 if len(ready) >= 2000 or size > 4 << 20:
@@ -137,7 +153,7 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
         if ready:
             yield pa.RecordBatch.from_pylist(ready, schema)
 
-    return rows.repartition("_c").sortWithinPartitions("_c", "_t", "_r", "_x").mapInArrow(run, WINDOW)
+    return rows.repartition("_c").sortWithinPartitions("_c", "_t", "_r", "_x").mapInArrow(tidy(run), WINDOW)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -171,4 +187,4 @@ def read_back(windows: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_pylist([row()], schema)
 
-    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(run, DIGEST)
+    return windows.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(tidy(run), DIGEST)

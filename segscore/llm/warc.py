@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved, shared_path
+from .common import pick, saved, shared_path, tidy
 
 INDEX = "page_id long, url string, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"
@@ -43,15 +43,20 @@ def with_references(pages: DataFrame, least: int) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """The same on every run, so a revisit can name the record that it refers to; its payload has the same digest."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}").urn
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """The record, not yet compressed."""
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(page_id, digest)}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     head += [f"WARC-Target-URI: {quote(url or '', safe=';/?:@&=+$,-_.!~*()#%[]')}"] * (url is not None)
     head += [f"WARC-Page-ID: {page_id}"] * (page_id is not None)
-    head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"] * (refers_to is not None)
+    head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(refers_to, digest)}>", f"WARC-Refers-To-Page-ID: {refers_to}"] * (refers_to is not None)
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -62,11 +67,11 @@ def parse_record(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     said = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    refers = re.search(r"<urn:page:(-?\d+)>", fields.get("WARC-Refers-To", ""))
+    refers = fields.get("WARC-Refers-To-Page-ID")
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     kind = fields["WARC-Type"]
     ok = kind == "revisit" or (len(payload) == said and hashlib.sha256(payload).hexdigest() == digest)
-    return {"page_id": int(fields["WARC-Page-ID"]) if "WARC-Page-ID" in fields else None, "url": fields.get("WARC-Target-URI"), "payload_bytes": said, "payload_digest": digest, "record_type": kind, "refers_to": int(refers[1]) if refers else None, "digest_ok": ok, "payload": payload}
+    return {"page_id": int(fields["WARC-Page-ID"]) if "WARC-Page-ID" in fields else None, "url": fields.get("WARC-Target-URI"), "payload_bytes": said, "payload_digest": digest, "record_type": kind, "refers_to": None if refers is None else int(refers), "digest_ok": ok, "payload": payload}
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -108,7 +113,7 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = 100,
             if out is not None:
                 out.close()
 
-    return saved(with_references(pages, least).mapInArrow(run, INDEX), "warc-index")
+    return saved(with_references(pages, least).mapInArrow(tidy(run), INDEX), "warc-index")
 
 
 def coalesced(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[int, int, int, int]]:
@@ -122,9 +127,14 @@ def coalesced(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tupl
 
 
 def read_records(index: DataFrame, payload: bool = False, gap: int = 64 << 10, most: int = 16 << 20) -> DataFrame:
-    """Reads the records that the index rows name (all, or a selection) and returns their fields, and the payload if asked."""
-    # Archives are of bounded size, so files deal the work out evenly; within a task the ranges come sorted.
-    rows = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    """Reads the records that the index rows name (all, or a selection) and returns their fields, and the payload if asked.
+
+    Stretches of `most` bytes of the archives are dealt out to about one task for each of them that the selection fills,
+    not by the index's own bytes; within a task the ranges come sorted. An empty selection reads nothing.
+    """
+    asked = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-asked // most))
+    rows = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok"] + ["payload"] * payload
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()] + [pa.binary()] * payload
     schema = pa.schema(list(zip(names, types, strict=True)))
@@ -142,4 +152,4 @@ def read_records(index: DataFrame, payload: bool = False, gap: int = 64 << 10, m
                         found = [parse_record(zlib.decompress(raw[o - offset : o - offset + n], 31)) for o, n in ranges[first:last]]
                         yield pa.RecordBatch.from_pylist([{c: x[c] for c in names} for x in found], schema)
 
-    return rows.mapInArrow(run, RECORD + ", payload binary" * payload)
+    return rows.mapInArrow(tidy(run), RECORD + ", payload binary" * payload)

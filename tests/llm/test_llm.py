@@ -53,7 +53,7 @@ def test_empty_tables(empty, spark):
     conv = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     tree = sharding.HashTree(2, 3, 4)
-    for df in (packing.pack_documents(empty, WORD), lines.clean_lines(empty), neardup.near_classes(empty), chat.read_back(chat.format_windows(conv)), warc.read_records(warc.write_archives(pages)), sharding.shard_documents(empty, tree, tree), repeats.removal_digests(empty), rules.judge(empty), bpe.encode_documents(empty, BYTE, public_tokenizers.PATTERN), fingerprints.fingerprint_documents(empty)):
+    for df in (packing.pack_documents(empty, WORD), lines.clean_lines(empty), neardup.near_classes(empty), chat.read_back(chat.format_windows(conv, BYTE)), warc.read_records(warc.write_archives(pages)), sharding.shard_documents(empty, tree, tree), repeats.removal_digests(empty), rules.judge(empty), bpe.encode_documents(empty, BYTE, public_tokenizers.PATTERN), fingerprints.fingerprint_documents(empty)):
         assert df.count() == 0
 
 
@@ -167,7 +167,9 @@ def test_near_classes(docs):
     assert Counter((x.doc_id, x.class_id, x.class_size) for x in neardup.near_classes(docs).collect()) == want
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == sorted(set(ids.values()))
+    kept = kept.collect()
+    assert sorted(x.doc_id for x in kept if x.doc_id is not None) == sorted(set(ids.values()))
+    assert len(kept) == len(sizes) and not Counter(tuple(x) for x in kept) - Counter(rows())  # whole rows, as they were
 
 
 def test_near_classes_of_one_template(spark):
@@ -185,6 +187,33 @@ def test_near_classes_of_one_template(spark):
     got = {x.doc_id: x.class_id for x in neardup.near_classes(df).collect()}
     assert got == {i: i - i % 2 for i in range(300)}
 
+
+@pytest.mark.parametrize("block", [16 << 20, 20_000])
+def test_links_inside_a_group_of_chains(spark, block, monkeypatch):
+    """Chains a - b - c whose ends are under 0.8, all sharing bands, in one block and in several."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    r = random.Random(5)
+    new = lambda n: [f"w{r.getrandbits(40)}" for _ in range(n)]
+    template, made = new(120), []
+    for _ in range(8):
+        one = template + new(60)
+        for i in range(5):  # each differs from the one before in nine words
+            made.append(" ".join(one))
+            one = one[: 125 + 10 * i] + new(9) + one[134 + 10 * i :]
+    sets = [runs(x) for x in made]
+    like = lambda i, j: sum((sets[i] & sets[j]).values()) / sum((sets[i] | sets[j]).values())
+    parent = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            if like(i, j) >= 0.8 and parent[i] != parent[j]:
+                old = max(parent[i], parent[j])
+                parent = [min(parent[i], parent[j]) if x == old else x for x in parent]
+    assert len(set(parent)) < len(made) and any(like(i, parent[i]) < 0.75 for i in range(len(made)))
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.class_id for x in neardup.near_classes(df).collect()}
+    assert got == {i: min(j for j in range(len(made)) if parent[j] == parent[i]) for i in range(len(made))}
+
+
 def test_signatures_estimate_weighted_likeness():
     r = np.random.default_rng(5)
     e = r.integers(0, 2**63, 400).astype(np.uint64)
@@ -196,7 +225,7 @@ def test_signatures_estimate_weighted_likeness():
     assert abs((sig[0] == sig[1]).mean() - want) < 0.04
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(r.randint(100, 160), r.randint(100, 160)) for _ in range(40)] + [(7, 7), (500, 499)]
     parent = {v: v for e in edges for v in e}
@@ -209,8 +238,11 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         parent[y] = x
-    got = {x.node: x.comp for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {v: find(v) for e in edges if e[0] != e[1] for v in e}
+    for local in (2_000_000, 20, 0):  # in one task, after some rounds, by rounds alone
+        monkeypatch.setattr(graph, "LOCAL", local)
+        assert {x.node: x.comp for x in graph.components(df).collect()} == want
 
 
 # ---- 4
@@ -228,12 +260,18 @@ def test_chat_round_trip(spark):
         own = sorted((t for t in turns if t[0] == conv), key=order)
         loss = "".join(text_of(t[3]) for t in own if t[2] == "assistant")
         want[conv] = (len(own), hashlib.sha256("".join(f"{text_of(t[2])}\n{text_of(t[3])}\n" for t in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    windows = chat.format_windows(df, budget=300, history=80).cache()
+    windows = chat.format_windows(df, BYTE, budget=900, history=300).cache()
     got = {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in chat.read_back(windows).collect()}
     assert got == want
     nine = sorted(windows.where("conv_id = 9").collect(), key=lambda x: x.window)
     assert len(nine) > 3 and all(x.text.startswith("### system:\n") for x in nine)
-    assert all(x.tokens <= 300 or len(list(chat.parse(x.text[x.new_from :]))) == 1 for x in nine)
+    t = Tokenizer.from_file(BYTE)
+    for x in nine:
+        turns = [chat.render(r, said)[0] for r, said, *_ in chat.parse(x.text)]
+        assert x.tokens == sum(len(t.encode(v, add_special_tokens=False).ids) for v in turns)
+        alone = turns[:1] + turns[-1:] if len(turns) == 2 else None  # the system turn and one new turn
+        assert x.tokens <= 900 or turns == alone and len(list(chat.parse(x.text[x.new_from :]))) == 1
+    assert any(len(list(chat.parse(x.text))) > len(list(chat.parse(x.text[x.new_from :]))) + 1 for x in nine)  # history
 
 
 # ---- 5
@@ -323,7 +361,19 @@ def test_repeated_passages(docs, spark, hot, monkeypatch):
         df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
         got = Counter(tuple(x) for x in repeats.removal_digests(df).collect())
         assert got == removed(items)
-    assert repeats.remove_repeats(docs).columns == docs.columns
+
+
+def test_removed_texts(docs, spark):
+    clash = docs.withColumnsRenamed({"n_chars": "starts", "node": "_maybe"})
+    cut = repeats.remove_repeats(clash)
+    assert cut.columns == clash.columns
+    want = Counter(digest for _, _, _, _, digest in removed([x[:2] for x in rows()]).elements())
+    got = Counter(hashlib.sha256(text_of(x.text).encode()).hexdigest() for x in cut.collect())
+    # Cuts inside a character leave less than the bytes that are kept; there are none in these rows.
+    assert got == want
+    others = [c for c in clash.columns if c != "text"]
+    assert Counter(map(tuple, cut.select(others).collect())) == Counter(map(tuple, clash.select(others).collect()))
+    assert cut.where("doc_id = 80").first().text is None
 
 
 def test_merged_transforms_sort_all_contexts():
