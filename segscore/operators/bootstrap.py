@@ -7,20 +7,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from .metrics import prf, ratio
+from .metrics import ap_of_counts, n_if, prf, ratio
+
+
+def numbered(rows: DataFrame, key: str, stratum: str, buckets: int = 128) -> DataFrame:
+    """rows with _i, their place by key in their stratum from 0, and _n, its size; no stratum is brought into one task.
+
+    Rows fall into ranges of the key, are numbered inside, and only the ranges' counts go through an ordered sum. The
+    bounds are `buckets` keys at most, the least ones by hash: an even sample, the same on every evaluation. Places don't
+    depend on the bounds.
+    """
+    bounds = sorted(x[0] for x in rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(buckets).collect())
+    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(key))) if bounds else F.lit(0)
+    ranged = rows.withColumn("_b", F.coalesce(below, F.lit(-1)))
+    counts = ranged.groupBy(stratum, "_b").agg(F.count("*").alias("_c"))
+    before = counts.select(stratum, "_b", (F.sum("_c").over(W.partitionBy(stratum).orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(W.partitionBy(stratum)).alias("_n"))
+    inside = F.row_number().over(W.partitionBy(stratum, "_b").orderBy(key)) - 1
+    return ranged.withColumn("_r", inside).join(before, [stratum, "_b"]).withColumn("_i", (F.col("_before") + F.col("_r")).cast("long")).drop("_b", "_r", "_before")
 
 
 def weights(contracts: DataFrame, key: str, stratum: str | None, resamples: int, stream: str) -> DataFrame:
     """(resample, key, w): in every stratum as many draws with replacement as it has contracts; w = 0 is left out.
 
-    Without a stratum all contracts are one. The rows are resamples x contracts, spread by resample.
+    Without a stratum all contracts are one. The rows are resamples x contracts, spread by resample and contract.
     """
     rows = contracts.select(key, (F.col(stratum) if stratum else F.lit(0)).alias("_s")).distinct()
-    placed = rows.withColumns({"_i": F.row_number().over(W.partitionBy("_s").orderBy(key)) - 1, "_n": F.count("*").over(W.partitionBy("_s"))})
+    placed = numbered(rows, key, "_s")
     slots = placed.select("_s", "_n", F.col("_i").alias("_slot"))
     drawn = slots.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_pick", draw(stream, "resample", "_s", "_slot") % F.col("_n"))
     counts = drawn.groupBy("resample", "_s", "_pick").agg(F.count("*").alias("w"))
-    return counts.join(placed.select("_s", F.col("_i").cast("long").alias("_pick"), key), ["_s", "_pick"]).select("resample", key, "w")
+    return counts.join(placed.select("_s", F.col("_i").alias("_pick"), key), ["_s", "_pick"]).select("resample", key, "w")
 
 
 def resampled(counts: DataFrame, w: DataFrame, key: str, keys: list[str], sums: list[str]) -> DataFrame:
@@ -35,6 +51,35 @@ def resampled_f1(counts: DataFrame, w: DataFrame, key: str, label: str = "label"
     return rows.groupBy("resample").agg(F.avg("f1").alias("macro_f1"), ratio(2 * tp, 2 * tp + fp + fn).alias("micro_f1"))
 
 
+def resampled_family(counts: DataFrame, none: DataFrame, w: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """(resample, metric, v): per label precision (0 without a prediction), recall and f1 (null without support), and
+    none_fp_rate (null without a segment that has no label); none: key, none, none_fp."""
+    rows = prf(resampled(counts, w, key, [label], ["tp", "fp", "fn"]))
+    seen = lambda c: F.when(F.col("support") > 0, F.col(c))
+    each = F.array(*(F.struct(F.concat(F.lit(f"{c}:"), F.col(label)).alias("metric"), v.alias("v")) for c, v in (("precision", F.col("precision")), ("recall", seen("recall")), ("f1", seen("f1")))))
+    rate = resampled(none, w, key, [], ["none", "none_fp"]).select("resample", F.lit("none_fp_rate").alias("metric"), ratio(F.col("none_fp"), F.col("none")).alias("v"))
+    return rows.select("resample", F.explode(each).alias("x")).select("resample", "x.metric", "x.v").unionByName(rate)
+
+
+def resampled_ap(rows: DataFrame, w: DataFrame, key: str, keys: list[str]) -> DataFrame:
+    """(resample, keys, ap): average precision with every row counted as often as its contract was drawn; rows of one
+    contract, key and score are summed before they meet the resamples."""
+    at = rows.groupBy(key, *keys, "p").agg(n_if(F.col("y")).alias("_pos"), F.count("*").alias("_all"))
+    drawn = w.join(at, key).groupBy("resample", *keys, "p").agg(F.sum(F.col("w") * F.col("_pos")).alias("pos"), F.sum(F.col("w") * F.col("_all")).alias("n"))
+    return ap_of_counts(drawn, ["resample", *keys])
+
+
+def long_interval(values: DataFrame, level: float = 0.95) -> DataFrame:
+    """metric, low, high, n from rows (resample, metric, v): percentiles over the resamples that define the metric."""
+    a = (1 - level) / 2
+    return values.groupBy("metric").agg(F.percentile("v", F.lit(a)).alias("low"), F.percentile("v", F.lit(1 - a)).alias("high"), F.count("v").alias("n"))
+
+
+def verdict(claims: DataFrame) -> DataFrame:
+    """One row, verdict: what both co-primary metrics claim, else "mixed"; claims: metric, claim."""
+    return claims.agg(F.when(F.countDistinct("claim") == 1, F.first("claim")).otherwise("mixed").alias("verdict"))
+
+
 def interval(values: DataFrame, columns: list[str], level: float = 0.95) -> DataFrame:
     """metric, low, high, n: percentile interval over the resamples in which the metric is defined."""
     a = (1 - level) / 2

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Fixed patterns: places left open in a form, and redactions.
-BLANK = r"_{3,}|\[[^\]\n]{1,40}\]"
-REDACTION = r"\[\*+\]|\*{3,}|_{5,}"
+#: Places left open in a form, and redactions (letters of either case).
+BLANK = r"_{5,}|\[●\]|\[Name"
+REDACTION = r"(?i)\[\*\*\*\]|\[\*\]|\*{3,}|\[REDACTED\]|\[Omitted\]"
 
 
 def phrase_class(df: DataFrame, phrases: dict[str, str], text: Column) -> DataFrame:
@@ -72,14 +72,45 @@ def vocabulary(docs: DataFrame, key: str, text: str, least: int = 2, grams: int
     return docs.select(key, F.explode(F.array_distinct(made)).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
 
 
-def tfidf(docs: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
-    """key, term, weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document's vector of length 1."""
-    tf = docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def tfidf(docs: DataFrame, key: str, text: str, least: int = 2, grams: int = 1) -> DataFrame:
+    """key, term, weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document's vector of length 1.
+
+    A document is tokenised once, into its own (term, tf) pairs; only terms are counted across documents, and norms need
+    one more aggregation by key.
+    """
+    t = T.tokens(F.col(text))
+    t = F.concat(t, *(T.ngrams(t, n) for n in range(2, grams + 1))) if grams > 1 else t
+    tf = docs.select(F.col(key).alias("_k"), F.explode(t).alias("term")).groupBy("_k", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
     n = docs.agg(F.count("*").alias("n"))
-    raw = tf.join(df, "term").crossJoin(n).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select("_k", "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("_k")))  # a document's terms, one row each
+    return raw.select(F.col("_k").alias(key), "term", (F.col("w") / norm).alias("weight"))
+
+
+def dots(vectors: DataFrame, key: str) -> DataFrame:
+    """(a, b, dot), a <= b: products of sparse vectors (key, term, weight) that share a term; a Gram matrix in long form.
+    For grouped vectors (contracts), whose number is small against that of documents."""
+    left, right = (vectors.select("term", F.col(key).alias(k), F.col("weight").alias(w)) for k, w in (("a", "_x"), ("b", "_y")))
+    return left.join(right, "term").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("dot"))
+
+
+def unique_prefix(names: DataFrame, key: str, name: str, titles: DataFrame, title: str) -> DataFrame:
+    """key, title, how: the equal title ("exact"), else the one title of which either is a prefix of the other ("prefix");
+    no row where there are several or none.
+
+    A prefix relation is an equality of the shorter text with a prefix of the longer, so each side is joined to the word
+    prefixes of the other; no side meets all of the other.
+    """
+    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n))
+    own, other = names.select(F.col(key).alias("_k"), F.col(name).alias("_n")), titles.select(F.col(title).alias("_t")).distinct()
+    exact = own.join(other, F.col("_n") == F.col("_t")).select("_k", "_t", F.lit("exact").alias("how"))
+    rest = own.join(exact.select("_k").distinct(), "_k", "left_anti")
+    longer = rest.withColumn("_p", F.explode(prefixes(F.col("_n")))).join(other, F.col("_p") == F.col("_t")).select("_k", "_t")
+    shorter = other.withColumn("_p", F.explode(prefixes(F.col("_t")))).join(rest, F.col("_p") == F.col("_n")).select("_k", "_t")
+    one = longer.union(shorter).distinct().groupBy("_k").agg(F.count("*").alias("_m"), F.min("_t").alias("_t")).where("_m = 1")
+    both = exact.unionByName(one.select("_k", "_t", F.lit("prefix").alias("how")))
+    return both.select(F.col("_k").alias(key), F.col("_t").alias("title"), "how")
 
 
 def nearest(vectors: DataFrame, key: str, vector: str, block: int = 4096) -> DataFrame:
@@ -110,3 +141,74 @@ def nearest(vectors: DataFrame, key: str, vector: str, block: int = 4096) -> Dat
     found = left.groupBy("b", "o").cogroup(right.groupBy("b", "o")).applyInPandas(best, "k long, neighbour long, similarity double").where("similarity > -2")
     top = F.max_by(F.struct("neighbour", "similarity"), F.struct(F.col("similarity"), -F.col("neighbour")))
     return found.groupBy("k").agg(top.alias("t")).select(F.col("k").alias(key), "t.neighbour", "t.similarity")
+
+
+def mapped_labels(rows: DataFrame, key: str, category: str, names: dict[str, str | None], rare: set[str]) -> DataFrame:
+    """key, labels (sorted), exclude. rows: one per key and raw category; names: category -> label, or None for none.
+
+    A key without any label that has a rare category is marked for exclusion. The map is a parameter of a few dozen
+    entries; categories that it lacks keep their name.
+    """
+    to = F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, v or "")))
+    label = F.coalesce(F.try_element_at(to, F.col(category)), F.col(category))
+    g = rows.groupBy(key).agg(F.sort_array(F.collect_set(F.when(label != "", label))).alias("labels"), F.bool_or(F.col(category).isin(*rare)).alias("_rare"))
+    return g.select(key, "labels", ((F.size("labels") == 0) & F.col("_rare")).alias("exclude"))
+
+
+def type_key(name: Column) -> Column:
+    """A type's name for comparison: lower case, letters only, without the words that all have."""
+    bare = F.regexp_replace(F.lower(F.replace(name, F.lit("_"), F.lit(" "))), "[^a-z ]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(filing|agreements?)\b", ""), " +", " "))
+
+
+def collapsed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def snippet(text: Column, most: int) -> Column:
+    """White space collapsed, cut at the last space within `most` characters, else there."""
+    t = collapsed(text)
+    head = F.substring(t, 1, most + 1)
+    return F.when(F.length(t) <= most, t).when(head.contains(" "), F.regexp_replace(head, " [^ ]*$", "")).otherwise(F.substring(t, 1, most))
+
+
+def definition(question: Column) -> Column:
+    """What stands behind "Details:"."""
+    return collapsed(F.split_part(question, F.lit("Details:"), F.lit(2)))
+
+
+def reflow(text: Column) -> Column:
+    """Lines joined to paragraphs; one blank line between these."""
+    return F.array_join(F.transform(F.split(text, "\n{2,}"), lambda p: F.replace(p, F.lit("\n"), F.lit(" "))), "\n\n")
+
+
+def prompts(rows: DataFrame, window: list[str], order: str, role: Column, text: Column) -> DataFrame:
+    """window..., prompt: a window's rows as marked segments with local ids S1, S2, ...; windows are of bounded size."""
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    g = rows.groupBy(*window).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), role.alias("r"), safe.alias("t")))).alias("s"))
+    line = F.transform("s", lambda x, i: F.concat(F.lit('<segment id="S'), (i + 1).cast("string"), F.lit('" role="'), x["r"], F.lit('">'), x["t"], F.lit("</segment>")))
+    return g.select(*window, F.array_join(line, "\n").alias("prompt"))
+
+
+def contained_pairs(docs: DataFrame, key: str, text: str, over: float, n: int = 8) -> DataFrame:
+    """a, b, common, containment of pairs a < b of which one side has more than the share `over` of its shingles in the
+    other.
+
+    A text that shares more than `over` of its n shingles with another one must share one of any n - ceil(over x n) + 1
+    of them, so only so many, the rarest, are asked for in the index of all; pairs are then counted exactly. Frequent
+    shingles are thereby not joined with themselves.
+    """
+    rows = shingle_rows(docs, key, text, n)
+    df = rows.groupBy("h").agg(F.count("*").alias("_df")).where("_df > 1")
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(W.partitionBy(key).orderBy("_df", "h"))
+    ranked = rows.join(df, "h", "left").withColumn("_df", F.coalesce("_df", F.lit(1))).withColumn("_r", rank).join(sizes, key)
+    asked = ranked.where((F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * over) + 1) & (F.col("_df") > 1)).select("h", F.col(key).alias("_x"))
+    found = asked.join(rows.join(df.select("h"), "h", "left_semi"), "h").where(F.col("_x") != F.col(key))
+    pairs = found.select(F.least("_x", key).alias("a"), F.greatest("_x", key).alias("b")).distinct()
+    left, right = (rows.select(F.col(key).alias(k), "h") for k in "ab")
+    common = pairs.join(left, "a").join(right, ["b", "h"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    of = lambda k: sizes.select(F.col(key).alias(k), F.col("_n").alias(f"_n{k}"))
+    full = common.join(of("a"), "a").join(of("b"), "b")
+    share = F.greatest(F.col("common") / F.col("_na"), F.col("common") / F.col("_nb"))
+    return full.select("a", "b", "common", share.alias("containment")).where(F.col("containment") > over)

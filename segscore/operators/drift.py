@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import draw
 from .metrics import ratio
 
 EPS = 1e-4
@@ -73,3 +74,25 @@ def tie_safe_threshold(scores: DataFrame, score: str, alpha: float) -> DataFrame
     counts = scores.groupBy(score).agg(F.count("*").alias("_n"))
     share = F.sum("_n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, 0)) / F.sum("_n").over(W.partitionBy())
     return counts.withColumn("_share", share).where(F.col("_share") <= alpha).agg(F.max(score).alias("threshold"), F.max("_share").alias("null_share"))
+
+
+def min_p(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with min_p, the least p-value of a family; null members count as 1."""
+    return rows.withColumn("min_p", F.least(*(F.coalesce(F.col(c), F.lit(1.0)) for c in columns)))
+
+
+def nested_batches(members: DataFrame, key: str, value: str, k: int, n: int, stream: str) -> DataFrame:
+    """resample, batch, value: the means of n batches of k copies each, drawn without replacement inside every resample.
+
+    members: resample, key, w, value. Work is dealt by resample and batch.
+    """
+    copies = members.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
+    order = W.partitionBy("resample", "batch").orderBy(draw(stream, "resample", "batch", key, "_copy"), key, "_copy")
+    taken = copies.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return taken.groupBy("resample", "batch").agg(F.avg(value).alias(value))
+
+
+def detected(intervals: DataFrame, name: str = "part") -> DataFrame:
+    """One row, detected: the lower bound of "shift" lies above the upper bound of "test"."""
+    bound = lambda part, c: F.max(F.when(F.col(name) == part, F.col(c)))
+    return intervals.agg((bound("shift", "low") > bound("test", "high")).alias("detected"))

@@ -46,7 +46,11 @@ def macro_micro(counts: DataFrame, keys: list[str]) -> DataFrame:
 def average_precision(long: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """Sum over distinct scores, downward, of recall gained times precision there. Rows of one score count at once."""
     w = F.col(weight) if weight else F.lit(1)
-    at = long.groupBy(*keys, "p").agg(F.sum(F.when(F.col("y"), w).otherwise(0)).alias("pos"), F.sum(w).alias("n"))
+    return ap_of_counts(long.groupBy(*keys, "p").agg(F.sum(F.when(F.col("y"), w).otherwise(0)).alias("pos"), F.sum(w).alias("n")), keys)
+
+
+def ap_of_counts(at: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ap from one row per key and score: pos of its n rows are true."""
     down = W.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
     curve = at.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
     return curve.groupBy(*keys).agg(ratio(F.sum(F.col("pos") * ratio(F.col("tp"), F.col("seen"))), F.sum("pos")).alias("ap"))
@@ -64,6 +68,13 @@ def ece(bins: DataFrame, keys: list[str]) -> DataFrame:
     return bins.groupBy(*keys).agg(agg) if keys else bins.agg(agg)
 
 
+def cross_entropy(rows: DataFrame, keys: list[str], floor: float = 1e-6) -> DataFrame:
+    """keys, prior_bce, bce: of the prior q alone and of the scores p, kept off 0 and 1 by `floor`."""
+    p = F.least(F.greatest(F.col("p"), F.lit(floor)), F.lit(1 - floor))
+    loss = lambda x: F.avg(-F.when(F.col("y"), F.log(x)).otherwise(F.log(1 - x)))
+    return rows.groupBy(*keys).agg(loss(F.col("q")).alias("prior_bce"), loss(p).alias("bce"))
+
+
 def confusion_pairs(long: DataFrame) -> DataFrame:
     """(true_label, predicted_label, n): a false positive beside a true label of the same segment."""
     true = long.where("y").select("segment_id", F.col("label").alias("true_label"))

@@ -79,16 +79,19 @@ DENSE_KEY = "SELECT c_custkey, c_name, dense_rank() OVER (ORDER BY c_name) - 1 A
 NESTED_CORPUS = """SELECT doc_id::VARCHAR AS title, 0 AS paragraph_idx, source AS category, lang <> 'en' AS is_impossible, lang = 'en' AS has_answer,
 CASE WHEN lang = 'en' THEN substr(text, 1, 5) END AS answer_text, CASE WHEN lang = 'en' THEN 0 END::BIGINT AS answer_start, CASE WHEN lang = 'en' THEN length(substr(text, 1, 5)) END::BIGINT AS answer_end FROM documents"""
 
-BLANK, REDACTION = r"_{3,}|\[[^\]\n]{1,40}\]", r"\[\*+\]|\*{3,}|_{5,}"
+BLANK, REDACTION = r"_{5,}|\[●\]|\[Name", r"(?i)\[\*\*\*\]|\[\*\]|\*{3,}|\[REDACTED\]|\[Omitted\]"
 RATES = f"""rates AS (SELECT *, len(regexp_extract_all(substr(text, 1, 3000), '{BLANK}'))::BIGINT AS blank_markers, len(regexp_extract_all(text, '{REDACTION}'))::BIGINT AS redactions,
 1000.0::DOUBLE * len(regexp_extract_all(text, '{REDACTION}')) / greatest(length(text), 1) AS per_1000 FROM documents)"""
 REDACTION_RATE = f"WITH {RATES} SELECT doc_id, blank_markers, redactions, {r6('per_1000')} AS per_1000 FROM rates"
 EXCLUSION_CASCADE = f"""WITH {RATES} SELECT doc_id, CASE WHEN length(text) < 500 THEN 'too_short' WHEN length(text) > 20000 THEN 'too_long'
 WHEN contains(lower(substr(text, 1, 500)), 'amend') AND NOT contains(lower(substr(text, 1, 500)), 'amended and restated') THEN 'amendment'
-WHEN blank_markers >= 3 THEN 'form_or_template' WHEN per_1000 >= 1 THEN 'redacted' END AS reason FROM rates"""
+WHEN blank_markers >= 3 THEN 'form_or_template' WHEN per_1000 > 1 THEN 'redacted' END AS reason FROM rates"""
 
-FUZZY_PREFIX_MATCH = """WITH p AS (SELECT p_partkey, lower(p_name) AS name, split_part(lower(p_name), ' ', 1) AS w FROM part), k AS (SELECT w, min(name) AS title FROM p GROUP BY w)
-SELECT p_partkey, count(*) AS n, min(title) AS title FROM p JOIN k ON starts_with(name, title) OR starts_with(title, name) WHERE p.w = k.w GROUP BY p_partkey HAVING count(*) = 1"""
+FUZZY_PREFIX_MATCH = """WITH p AS (SELECT p_partkey, lower(p_name) AS name FROM part),
+t AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN substr(name, 1, 10) ELSE name END AS title FROM p WHERE p_partkey % 2 = 0),
+e AS (SELECT p_partkey, title FROM p JOIN t ON name = title),
+r AS (SELECT p_partkey, count(*) AS n, min(title) AS title FROM p JOIN t ON starts_with(name, title) OR starts_with(title, name) WHERE p_partkey NOT IN (SELECT p_partkey FROM e) GROUP BY 1)
+SELECT p_partkey, title, 'exact' AS how FROM e UNION ALL SELECT p_partkey, title, 'prefix' FROM r WHERE n = 1"""
 
 PHRASE_CLASSIFY = """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (
   SELECT doc_id, list_distinct(list_filter([CASE WHEN contains(t, 'apache license') THEN 'Software' END, CASE WHEN contains(t, 'hosting services agreement') THEN 'Hosting' END,
@@ -222,7 +225,7 @@ o AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY
 t AS (SELECT doc_id, n, (b + length(raw) - length(lt))::BIGINT AS start, regexp_replace(lt, '[\s\x{00a0}]+$', '') AS line FROM o), k AS (SELECT * FROM t WHERE length(line) > 0)
 SELECT doc_id, (row_number() OVER w - 1)::INT AS line_no, start, start + length(line) AS "end", line, n - coalesce(lag(n) OVER w, 0) >= 2 AS blank_before FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n)"""
 
-CHARSET_DECODE = "SELECT page_id, sha256(url) AS sha FROM pages"
+CHARSET_DECODE = "SELECT page_id, sha256(html) AS sha, (octet_length(encode(html)) + 1)::BIGINT AS n_odd, 'é' AS last FROM pages"
 
 TOKENS = r"regexp_extract_all(regexp_replace(lower(text), '\*{3,}|_{5,}', ' redactedtoken ', 'g'), '([\p{L}\p{N}_]{2,})', 1)"
 VOCAB = f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 2"

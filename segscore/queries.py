@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import oracles as O
 from .functions import text as T
+from .functions.agreement import matches
 from .functions.hashing import draw
 from .operators import bootstrap as B
 from .operators import calllog as L
@@ -111,18 +114,17 @@ def redaction_rate(spark, d):
 def exclusion_cascade(spark, d):
     docs = P.table(spark, d, "documents").withColumns(C.marker_rates(F.col("text")))
     head = F.lower(F.substring("text", 1, 500))
-    rules = [("too_short", F.length("text") < 500), ("too_long", F.length("text") > 20000), ("amendment", head.rlike("amend") & ~head.contains("amended and restated")), ("form_or_template", F.col("blank_markers") >= 3), ("redacted", F.col("per_1000") >= 1)]
+    rules = [("too_short", F.length("text") < 500), ("too_long", F.length("text") > 20000), ("amendment", head.rlike("amend") & ~head.contains("amended and restated")), ("form_or_template", F.col("blank_markers") >= 3), ("redacted", F.col("per_1000") > 1)]
     return docs.select("doc_id", C.first_reason(rules).alias("reason"))
 
 
 @query(O.FUZZY_PREFIX_MATCH)
 def fuzzy_prefix_match(spark, d):
-    """Part names to brands' shortest names: exact first, else the one candidate of which either is a prefix."""
+    """Part names to the titles of parts with an even key, cut to their first ten characters where the key divides by
+    four: exact first, else the one title of which either is a prefix of the other."""
     part = P.table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    # Candidates of a name begin with its first word: an equality to join on before the prefix test.
-    keys = part.groupBy(F.substring_index("name", " ", 1).alias("w")).agg(F.min("name").alias("title"))
-    hits = part.withColumn("w", F.substring_index("name", " ", 1)).join(keys, "w").where(F.col("name").startswith(F.col("title")) | F.col("title").startswith(F.col("name")))
-    return hits.groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("title").alias("title")).where("n = 1")
+    titles = part.where("p_partkey % 2 = 0").select(F.when(F.col("p_partkey") % 4 == 0, F.substring("name", 1, 10)).otherwise(F.col("name")).alias("t"))
+    return C.unique_prefix(part, "p_partkey", "name", titles, "t")
 
 
 @query(O.PHRASE_CLASSIFY)
@@ -393,11 +395,14 @@ def segment_documents(spark, d):
 
 @query()
 def label_segments(spark, d):
-    """Segments labelled by spans (every 'Licensed' or 'the' sentence of 40 characters) by the coverage rule."""
+    """Segments labelled by spans (40 characters from every "Licensed" or "Copyright" on) by the coverage rule."""
     docs = P.table(spark, d, "documents")
     segs = T.segment_documents(docs).select("doc_id", "segment_id", F.col("start").alias("g_start"), F.col("end").alias("g_end"))
-    at = F.instr("text", "Licensed")
-    marks = docs.where(at > 0).select("doc_id", F.lit("license").alias("category"), (at - 1).cast("long").alias("s_start"), (at + 39).cast("long").alias("s_end"))
+    # Between two finds lies one part of a split, so the lengths before give every place.
+    parts = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(c).alias("category"), F.lit(w).alias("word"), F.split("text", w).alias("parts")) for c, w in (("license", "Licensed"), ("rights", "Copyright"))))).alias("x"))
+    cut = parts.select("doc_id", "x.category", "x.word", F.posexplode("x.parts").alias("i", "part"))
+    upto = F.sum(F.length("part") + F.length("word")).over(W.partitionBy("doc_id", "category").orderBy("i").rowsBetween(W.unboundedPreceding, -1)) - F.length("word")
+    marks = cut.withColumn("s_start", upto.cast("long")).where("i > 0").select("doc_id", "category", "s_start", (F.col("s_start") + 40).alias("s_end"))
     hits = I.covered(I.overlap_join(marks, segs, "doc_id"), ["doc_id", "segment_id", "category"])
     labels = hits.groupBy("segment_id").agg(F.sort_array(F.collect_set("category")).alias("labels"))
     return segs.join(labels, "segment_id", "left").select("segment_id", "doc_id", "g_start", "g_end", F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"))
@@ -410,8 +415,10 @@ def html_text(spark, d):
 
 @query(O.CHARSET_DECODE)
 def charset_decode(spark, d):
-    p = P.table(spark, d, "pages").select("page_id", T.decoded(F.encode("url", "UTF-8")).alias("url"))
-    return p.select("page_id", F.sha2("url", 256).alias("sha"))
+    """Whole pages from their UTF-8 bytes, and from these in ISO-8859-1 with a byte 233 behind, which is no UTF-8."""
+    p = P.table(spark, d, "pages")
+    odd = F.concat(F.encode("html", "UTF-8"), F.lit(bytearray(b"\xe9")))
+    return p.select("page_id", F.sha2(T.decoded(F.encode("html", "UTF-8")), 256).alias("sha"), F.length(T.decoded(odd)).cast("long").alias("n_odd"), F.substring(T.decoded(odd), -1, 1).alias("last"))
 
 
 @query(O.VOCAB)
@@ -560,20 +567,25 @@ def kappa_presence(spark, d):
 
 @query()
 def span_agreement(spark, d):
-    """Greedy one-to-one span F1 of two annotators: the spans of even against those of odd events, per user."""
-    import pandas as pd
-
-    from .functions.agreement import span_f1
+    """Greedy one-to-one span F1 of two annotators: the spans of even against those of odd events, per user.
 
+    Spans that don't reach each other can't match, so a user's spans are matched island by island (spans that overlap or
+    touch one after the other), and the counts summed.
+    """
     s = spans(spark, d).select("user_id", (F.col("event_id") % 2).alias("rater"), F.struct("start", "end").alias("span"))
-    g = s.groupBy("user_id").agg(F.collect_list(F.when(F.col("rater") == 0, F.col("span"))).alias("a"), F.collect_list(F.when(F.col("rater") == 1, F.col("span"))).alias("b"))
+    order = W.partitionBy("user_id").orderBy("span.start", "span.end", "rater")
+    new = F.coalesce(F.col("span.start") > F.max("span.end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    islands = s.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(order))
+    pick = lambda r: F.collect_list(F.when(F.col("rater") == r, F.col("span")))
+    g = islands.groupBy("user_id", "island").agg(pick(0).alias("a"), pick(1).alias("b"))
+    counts = g.select("user_id", matched("a", "b").alias("m"), (F.size("a") + F.size("b")).alias("n"))
+    return r6(counts.groupBy("user_id").agg(M.ratio(2 * F.sum("m"), F.sum("n")).alias("f1")))
 
-    @F.pandas_udf("double")
-    def f1(a: pd.Series, b: pd.Series) -> pd.Series:
-        both = [[(x["start"], x["end"]) for x in v] for v in (*a, *b)]
-        return pd.Series([span_f1(x, y) for x, y in zip(both[: len(a)], both[len(a) :], strict=True)])
 
-    return g.select("user_id", f1("a", "b").alias("f1"))
+@F.pandas_udf("long")
+def matched(a: pd.Series, b: pd.Series) -> pd.Series:
+    rows = lambda v: np.array([(x["start"], x["end"]) for x in v], np.int64).reshape(-1, 2)
+    return pd.Series([matches(rows(x), rows(y)) for x, y in zip(a, b, strict=True)])
 
 
 @query(O.USAGE_COSTS)
@@ -696,3 +708,6 @@ def lineitem_bootstrap(spark, d):
     w = B.weights(li.join(o, "l_orderkey").select("l_orderkey", "o_orderpriority"), "l_orderkey", "o_orderpriority", 20, "scale")
     s = B.resampled(li, w, "l_orderkey", [], ["hits", "n"]).withColumn("share", M.ratio(F.col("hits"), F.col("n")))
     return r6(B.interval(s, ["share"]))
+
+
+from . import queries_audit  # noqa: E402, F401  registers its queries

@@ -17,18 +17,12 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CORPUS).option("multiLine", True).json(path).select(F.explode("data").alias("d")).select("d.*")
 
 
-def dense_key(df: DataFrame, by: str, out: str, buckets: int = 1024) -> DataFrame:
-    """Distinct values numbered from 0 in order. Values fall into ranges (of a string's first two bytes, or of `buckets`
-    successive numbers), are numbered inside, and only the ranges' counts go through one ordered sum."""
-    from pyspark.sql import Window as W
+def dense_key(df: DataFrame, by: str, out: str, buckets: int = 256) -> DataFrame:
+    """Distinct values numbered from 0 in order, by sampled ranges of them: no task sorts them all."""
+    from ..operators.bootstrap import numbered
 
-    values = df.select(by).distinct()
-    ranked = values.withColumn("_h", F.substring(F.hex(F.encode(F.col(by).cast("string"), "UTF-8")), 1, 4))
-    if dict(df.dtypes)[by] != "string":
-        ranked = values.withColumn("_h", F.floor(F.col(by) / buckets))
-    before = ranked.groupBy("_h").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranked.withColumn("_i", F.row_number().over(W.partitionBy("_h").orderBy(by)) - 1).join(before.drop("_n"), "_h")
-    return df.join(numbered.select(by, (F.col("_before") + F.col("_i")).cast("long").alias(out)), by)
+    values = numbered(df.select(by, F.lit(0).alias("_s")).distinct(), by, "_s", buckets)
+    return df.join(values.select(by, F.col("_i").alias(out)), by)
 
 
 def spans(corpus: DataFrame) -> DataFrame:
@@ -50,8 +44,45 @@ def walk(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 def fingerprint(files: DataFrame) -> DataFrame:
     """A 12-digit version of a set of files, whatever their order of reading."""
-    each = files.select(F.sha2("content", 256).alias("h"))
-    return each.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256), 1, 12).alias("version"))
+    # Sums of the hashes' parts: no list of all files in one row, and any set of files has one version.
+    h = F.sha2("content", 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"s{i}") for i in range(5)]
+    return files.agg(*parts, F.count("*").cast("string").alias("n")).select(F.substring(F.sha2(F.concat_ws("|", "n", *(f"s{i}" for i in range(5))), 256), 1, 12).alias("version"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """One folder of CSV files with a header."""
+    df.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def json_rows(df: DataFrame, out: str = "json") -> DataFrame:
+    """Every row as one JSON object, nulls left in."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(out))
+
+
+def settings(env: dict[str, str], lists: dict[str, str], numbers: dict[str, float]) -> dict:
+    """Settings from an environment: comma-separated lists and numbers, each with a default where unset or empty."""
+    told = {k: [x.strip() for x in (env.get(k) or d).split(",") if x.strip()] for k, d in lists.items()}
+    return told | {k: float(env.get(k) or d) for k, d in numbers.items()}
+
+
+class ResponseCache:
+    """Responses by request key, as a table that tasks append to; of several for a key the last by time counts."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def save(self, records: DataFrame) -> None:
+        records.select("key", F.col("at").cast("timestamp").alias("at"), "record").write.mode("append").parquet(self.path)
+
+    def load(self, keys: DataFrame) -> DataFrame:
+        """key, record (null for a miss) of the asked keys."""
+        held = self.spark.read.schema("key string, at timestamp, record string").parquet(self.path)
+        return keys.join(held.groupBy("key").agg(F.max_by("record", "at").alias("record")), "key", "left")
 
 
 def prediction_frame(rows: DataFrame, labels: list[str], thresholds: dict[str, float], model: str, version: str) -> DataFrame:
@@ -93,4 +124,4 @@ def append_ledger(entries: DataFrame, path: str) -> None:
 
 
 def ledger_total(spark: SparkSession, path: str, cost: str = "cost_usd") -> Column | float:
-    return spark.read.json(path).agg(F.coalesce(F.sum(cost), F.lit(0.0))).first()[0]
+    return spark.read.schema(f"{cost} double").json(path).agg(F.coalesce(F.sum(cost), F.lit(0.0))).first()[0]

@@ -148,8 +148,8 @@ def test_responses():
     ok = '{"segments":[{"id":"S1","labels":[{"label":"a","confidence":0.9},{"label":"a","confidence":0.4},{"label":"b","confidence":0.05}]}]}'
     check = lambda t, finish="ok", ids=("S1",), **k: L.validate_response(t, finish, list(ids), {"a", "b"}, **k)
     assert check(ok) == {"scores": {"S1": {"a": 0.9}}, "errors": []}
-    assert check(ok, ids=("S1", "S2"))["errors"] == ["missing id S2"]
-    assert check("{", "ok")["scores"] == {} and check(ok, "max_tokens")["errors"] == ["finish=max_tokens"]
+    assert check(ok, ids=("S1", "S2"))["errors"] == ["missing@S2"]
+    assert check("{", "ok")["scores"] == {} and check(ok, "max_tokens")["errors"] == ["finish:max_tokens"]
     assert check('{"segments":{"S1":{"a":1,"b":0}}}', dense=True)["scores"] == {"S1": {"a": 1.0, "b": 0.0}}
     for bad in ('{"segments":[{"id":"S1","labels":[{"label":"z","confidence":1}]}]}', '{"segments":[{"id":"S1","labels":[{"label":"a","confidence":true}]}]}', '{"segments":[{"id":"S1","labels":[]},{"id":"S1","labels":[]}]}', '{"segments":[{"id":"S1","labels":3}]}'):
         r = check(bad)
@@ -157,10 +157,110 @@ def test_responses():
 
 
 def test_agreement():
+    r = random.Random(14)
+    for _ in range(300):
+        made = lambda: sorted((x := r.randint(0, 40), x + r.randint(1, 15)) for _ in range(r.randint(0, 8)))
+        a, b = made(), made()
+        for strict in (False, True):
+            taken: set[int] = set()
+            for s, e in a:  # the definition: the first free partner in order
+                both = lambda j, s=s, e=e: (min(e, b[j][1]) - max(s, b[j][0]), e - s, b[j][1] - b[j][0])
+                fits = lambda j: (c := both(j))[0] > 0 and (all if strict else any)(2 * c[0] >= n for n in c[1:])
+                hit = next((j for j in range(len(b)) if j not in taken and fits(j)), None)
+                taken |= {hit} - {None}
+            want = 2 * len(taken) / (len(a) + len(b)) if a or b else None
+            assert span_f1(a[::-1], b[::-1], strict) == want
     assert span_f1([], []) is None and span_f1([(0, 10)], [(4, 30)]) == 1.0 and span_f1([(0, 10)], [(4, 30)], strict=True) == 0.0
     assert span_f1([(0, 10), (0, 10)], [(0, 10)]) == pytest.approx(2 / 3)
 
 
+def test_span_agreement_by_islands(spark):
+    import __spark_entry__ as e
+    from segscore.queries import spans
+
+    d = "/root/testdata/sf0.001"
+    sides: dict = {}
+    for x in spans(spark, d).collect():
+        sides.setdefault(x.user_id, ([], []))[x.event_id % 2].append((x.start, x.end))
+    got = {x.user_id: x.f1 for x in e.queries()["span_agreement"](spark, d).collect()}
+    assert got.keys() == sides.keys()
+    assert all(got[u] == pytest.approx(span_f1(*v), abs=1e-6) for u, v in sides.items())
+
+
+def test_label_segments_by_hand(spark):
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    marks = {k: [(c, i, i + 40) for c, w in (("license", "Licensed"), ("rights", "Copyright")) for i in range(len(t)) if t.startswith(w, i)] for k, t in texts.items()}
+    rows = e.queries()["label_segments"](spark, d).collect()
+    assert any(x.labels for x in rows)
+    for x in rows:
+        want = set()
+        for c in ("license", "rights"):
+            common = [min(x.g_end, z) - max(x.g_start, a) for k, a, z in marks[x.doc_id] if k == c]
+            common = [v for v in common if v > 0]
+            if common and (max(common) >= 20 or sum(common) * 2 >= x.g_end - x.g_start):
+                want.add(c)
+        assert x.labels == ",".join(sorted(want))
+
+
+def test_numbers_do_not_depend_on_bounds(spark):
+    r = random.Random(3)
+    rows = [(f"k{r.randint(0, 10**6)}", "ab"[i % 2]) for i in range(200)] + [(None, "a")]
+    df = spark.createDataFrame(sorted(set(rows), key=str), "k string, s string")
+    for buckets in (1, 7, 500):
+        got = {(x.s, x.k): (x._i, x._n) for x in B.numbered(df, "k", "s", buckets).collect()}
+        for s in "ab":
+            own = sorted((k for z, k in got if z == s), key=lambda k: (k is not None, k or ""))
+            assert [got[(s, k)] for k in own] == [(i, len(own)) for i in range(len(own))]
+
+
+def test_checks(spark):
+    from segscore.operators import checks as K
+
+    a = spark.createDataFrame([(1, "x", 3.0), (1, "x", 3.0), (2, "y", 1.0)], "id long, t string, v double")
+    b = spark.createDataFrame([(1, "x", 3.5), (3, "z", 1.0)], "id long, t string, v double")
+    got = {x.check: x.n for x in K.pair_audit(a, b, ["id"], ["t", "v"]).collect()}
+    assert got == {"only a": 1, "only b": 1, "t differs": 0, "v differs": 2, "repeated in a": 1, "repeated in b": 0}
+    assert {tuple(x) for x in K.not_covered_once(a, b, ["id"]).collect()} == {(2, 0), (3, None)}
+    with pytest.raises(K.Refused):
+        K.refuse(K.differing(a.union(b), ["id"], "v"), "v")
+    K.refuse(K.differing(a, ["id"], "v"), "v")
+    t = spark.createDataFrame([(1, "a b", " a b "), (2, "a", "a"), (3, "a", "b"), (4, None, "b")], "id long, x string, y string")
+    assert {x.id: x.kind for x in K.text_match(t, t, "id", "x", "y").collect()} == {1: "stripped", 2: "exact", 3: "different", 4: "missing"}
+    p = spark.createDataFrame([(0.9, 0.9), (0.2, 0.6)], "a double, b double")
+    r = K.parity(p, [], "a", "b", 0.5).first()
+    assert (r.pairs, r.disagreements, r.flagged, r.passed) == (2, 1, 2, False) and r.max_diff == pytest.approx(0.4)
+    assert K.bad_fractions(spark.createDataFrame([(0.6,), (0.2,), (0.2,)], "f double"), "f").count() == 0
+    assert K.bad_fractions(spark.createDataFrame([(0.6,)], "f double"), "f").count() == 1
+
+
+def test_costs_and_settings(spark, tmp_path):
+    e = spark.createDataFrame([({"input": 1_000_000, "cached": 2_000_000, "thinking": 1_000_000},)], "m map<string,long>")
+    cost = lambda **p: e.select(L.call_cost("m", p).alias("c")).first().c
+    assert cost(input=3, output=15, cached=0.3) == pytest.approx(3 + 0.6 + 15) and cost(input=3, output=15) == pytest.approx(9 + 15)
+    assert io.settings({"A": "x, y", "N": ""}, {"A": "", "B": "z"}, {"N": 1.5}) == {"A": ["x", "y"], "B": ["z"], "N": 1.5}
+    c = io.ResponseCache(spark, str(tmp_path / "cache"))
+    c.save(spark.createDataFrame([("k", "2024-01-01 00:00:00", "old"), ("k", "2024-01-02 00:00:00", "new")], "key string, at string, record string"))
+    got = c.load(spark.createDataFrame([("k",), ("miss",)], "key string")).collect()
+    assert {x.key: x.record for x in got} == {"k": "new", "miss": None}
+    d = spark.createDataFrame([(1, 'a "b", c')], "i long, t string")
+    io.write_csv(d, str(tmp_path / "csv"))
+    assert io.read_csv(spark, str(tmp_path / "csv"), "i long, t string").collect() == d.collect()
+    names = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, "x"), (4, "q")], "k long, n string")
+    titles = spark.createDataFrame([("ab",), ("abc",), ("xy",), ("xz",)], "t string")
+    assert {tuple(r) for r in C.unique_prefix(names, "k", "n", titles, "t").collect()} == {(1, "ab", "exact")}
+    assert {tuple(r) for r in C.unique_prefix(names.where("k = 4 or k = 2"), "k", "n", titles.where("t <> 'ab'"), "t").collect()} == {(2, "abc", "prefix")}
+
+
+def test_verdicts_and_detection(spark):
+    c = lambda *x: spark.createDataFrame(list(enumerate(x)), "metric long, claim string")
+    assert B.verdict(c("A", "A")).first().verdict == "A" and B.verdict(c("A", "none")).first().verdict == "mixed"
+    i = spark.createDataFrame([("test", 0.1, 0.2), ("shift", 0.25, 0.4)], "part string, low double, high double")
+    assert D.detected(i).first().detected and not D.detected(i.withColumn("high", F.lit(0.3))).first().detected
+
+
 def test_drift(spark):
     h = spark.createDataFrame([(1.0, 1.0), (3.0, 3.0)], "b double, r double")
     assert D.psi(h, 2).first().psi == pytest.approx(0) and D.js_distance(h).first().js == pytest.approx(0)
