@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from segscore.llm import bpe, chat, fingerprints, graph, lines, neardup, packing, repeats, rules, sharding, warc
@@ -425,6 +426,30 @@ def test_quality_rules(docs):
     assert not Counter(tuple(x) for x in kept.collect()) - Counter(rows())  # whole rows, as they were
 
 
+def kept_rows(items: list[tuple]) -> list[tuple]:
+    """The rows (doc_id, text, lang, source, ...) that the rules keep, from exact quantiles."""
+    told = []
+    for x in items:
+        m = measures(text_of(x[1]))
+        lines = sum(bool(v.strip(" \t\n\x0b\x0c\r")) for v in text_of(x[1]).split("\n"))
+        told.append((x, m, (m[2] / m[0], m[3] / lines, m[1] / m[0]) if m[0] else None))
+    quartiles = lambda of: np.array([sorted(of)[int(np.ceil(len(of) * q)) - 1] for q in (0.25, 0.5, 0.75)])
+    out = []
+    for x, m, r in told:
+        good = m[0] >= 10 and 100 * m[4] <= 20 * m[0]
+        for i, room in enumerate((0.1, 0.35, 2.0) if good else ()):
+            bound, size = None, 0
+            for same in (lambda y: True, lambda y: y[2] == x[2], lambda y: y[2:4] == x[2:4]):
+                own = [v[i] for y, _, v in told if v and same(y)]
+                bound = quartiles(own) if bound is None else (len(own) * quartiles(own) + 200 * bound) / (len(own) + 200)
+            low, mid, high = bound
+            least = max(room, mid / 2)
+            good &= mid - max(4 * (mid - low), least) <= r[i] <= mid + max(4 * (high - mid), least)
+        if good:
+            out.append(x)
+    return out
+
+
 def test_kept_with_planted_junk(spark):
     r = random.Random(12)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
@@ -435,29 +460,8 @@ def test_kept_with_planted_junk(spark):
     def repeated() -> str:  # short lines three times, between long ones: few words, many lines
         return "\n".join(x for _ in range(6) for v in [word() + " " + word()] for x in (v, " ".join(word() for _ in range(12)), v, v))
 
-    def ratios(own: list[tuple], failed: bool) -> dict:
-        ratios = {}
-        for d, x in own:
-            n, chars, symbols, dup, hit = measures(x)
-            if n and (failed or n >= 10 and 100 * hit <= 20 * n):
-                ratios[d] = (symbols / n, dup / sum(bool(v.strip()) for v in x.split("\n")), chars / n)
-        return ratios
-
-    def brute(groups: dict[int, list[tuple]]) -> set[int]:
-        every, kept = [v for own in groups.values() for v in ratios(own, True).values()], set()
-        quartiles = lambda of: [sorted(of)[int(np.ceil(len(of) * q)) - 1] for q in (0.25, 0.5, 0.75)]
-        for own in groups.values():
-            part, good = ratios(own, True), ratios(own, False)
-            for i, room in enumerate((0.1, 0.35, 2.0)):
-                # One language, so its blend with all documents is that of all documents.
-                low, mid, high = ((len(part) * x + 200 * y) / (len(part) + 200) for x, y in zip(quartiles([v[i] for v in part.values()]), quartiles([v[i] for v in every]), strict=True))
-                least = max(room, mid / 2)
-                good = {d: v for d, v in good.items() if mid - max(4 * (mid - low), least) <= v[i] <= mid + max(4 * (high - mid), least)}
-            kept |= set(good)
-        return kept
-
     for kinds in ((piped,), (marked,), (repeated,), (piped, marked, repeated)):
-        made, groups, junk = [], defaultdict(list), set()
+        made, junk = [], set()
         for share in (1, 6, 20):
             for i in range(400):
                 d = len(made)
@@ -465,9 +469,8 @@ def test_kept_with_planted_junk(spark):
                 x = kinds[i % len(kinds)]() if bad else clean()
                 junk |= {d} if bad else set()
                 made.append((d, x, "en", f"s{share}"))
-                groups[share].append((d, x))
         got = {x.doc_id for x in rules.judge(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).where("kept").collect()}
-        assert got == brute(groups) == set(range(len(made))) - junk
+        assert got == {x[0] for x in kept_rows(made)} == set(range(len(made))) - junk
 
 
 def test_quantiles_of_merged_sketches_are_near_exact(spark):
@@ -563,6 +566,48 @@ def test_likeness_is_of_all_anchors(spark):
         if x.doc_id == 1:
             assert len(both) > 15 and {a - b for a, b in x.next_places} == {1800} and 0 < x.near_next < 0.02
 
+def signed(h: int) -> int:
+    return h - 2**64 if h >= 2**63 else h
+
+
+def chained(*values) -> int:
+    """The engine's 64-bit hash of strings and longs one after another."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else int(v).to_bytes(8, "little", signed=True), seed)
+    return signed(seed)
+
+
+def test_anchors_by_definition(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(17)
+    texts = [" ".join(r.choice("ab") * r.randint(1, 20) for _ in range(n)) for n in (0, 1, 3, 4, 5, 6, 9, 60, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fingerprints.anchors(F.col("t")).alias("a"))
+    for x in df.collect():
+        words = [w[i : i + 16] for w in texts[x.i].split() for i in range(0, len(w), 16)]
+        h = [chained(w) for w in words]
+        pairs = [chained(a, b) for a, b in itertools.pairwise(h)]
+        want = [(i, chained(pairs[i], pairs[i + 2], pairs[i + 3])) for i in range(len(pairs) - 3) if min(pairs[i], pairs[i + 3]) == min(pairs[i : i + 4])]
+        if not want and words:
+            want = [(0, chained(*h))]
+        assert [(a["at"], a["hash"]) for a in x.a] == want
+
+
+def test_shards_by_plain_descent(spark):
+    from math import log
+
+    from pyspark.sql import functions as F
+
+    tree = sharding.HashTree(2, 3, 4, weights={3: 2.5}).grow()
+    for x in spark.range(300).select("id", tree.shard(F.col("id")).alias("s")).collect():
+        steps = tree.steps
+        for _ in range(3):
+            best = min(steps, key=lambda p: -log(((chained(p.name, x.id) % 2**64 >> 11) + 0.5) * 2.0**-53) / p.weight)  # noqa: B023
+            steps = best.children
+        assert best.shard == x.s
+
+
 def test_anchors_are_context_free(spark):
     from pyspark.sql import functions as F
 
@@ -592,3 +637,96 @@ def test_pipeline_stages(docs, spark, tmp_path):
         now = out
     assert 0 < now.count() < docs.count()
     assert now.where("n_chars <> length(text)").count() == 0
+
+
+def sorted_rows(items) -> list[tuple]:
+    return sorted((tuple(x) for x in items), key=repr)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
+    """Every stage's rows, each from the rows that the brute force of the stage before gave, and the pieces of run()."""
+    import corpus_pipeline
+
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8)))
+    line = lambda: " ".join(word() for _ in range(9))
+    footer, passage = line(), " ".join(line() for _ in range(7))
+    made = []
+    for i in range(120):
+        lines = [line() for _ in range(r.randint(2, 9))] + [footer] * (i % 3 == 0)
+        lines += [line() + " " + passage + " " + line()] * (i % 5 == 1)
+        made.append((i, "\n".join(lines), "en" if i % 4 else "fr", f"s{i % 14}", 0))
+    made += [(200 + i, made[i][1], "en", "s1", 0) for i in range(0, 30, 3)]  # copies
+    for i in range(10):  # near copies
+        words = made[40 + i][1].split(" ")
+        made.append((300 + i, " ".join([*words[:-1], word()]), None, "s2", 0))
+    made += [(400, None, "en", "s1", 0), (401, "", "en", None, 0), (402, "## $$ | | " * 30 + line(), "en", "s3", 0), (403, "few words only", "en", "s1", 0), made[7], made[7], (None, line() + " " + line(), "en", "s4", 0)]
+    made = [(a, b, c, d, len(text_of(b))) for a, b, c, d, _ in made]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(made, schema).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    now = made
+    fresh = lambda x, text: (x[0], text, *x[2:4], None if text is None else len(text))
+
+    # 1
+    want = kept_rows(now)
+    assert 0 < len(want) < len(now)
+    step = lambda name: sorted_rows(stages[name](spark, spark.createDataFrame(now, schema).repartition(3), str(tmp_path)).collect())
+    assert step("quality rules") == sorted_rows(want)
+    now = want
+    # 2
+    spread, first = defaultdict(set), {}
+    for d, x, _, s, _ in now:
+        for k in {v.strip(" ") for v in x.split("\n")}:
+            spread[k].add(text_of(s))
+            first[k] = d if k not in first else min(first[k], d, key=lambda v: (v is None, v or 0))
+    gone = {k for k, v in spread.items() if len(k) >= 20 and len(v) >= 10}
+    assert gone
+    want = [fresh(x, "\n".join(v for v in x[1].split("\n") if v.strip(" ") not in gone or x[0] == first[v.strip(" ")])) for x in now]
+    assert step("line dedup") == sorted_rows(want)
+    now = want
+    # 3
+    sets, parent = [runs(x[1]) for x in now], list(range(len(now)))
+    for i, j in itertools.combinations(range(len(now)), 2):
+        both = sum((sets[i] & sets[j]).values())
+        if both >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - both) and parent[i] != parent[j]:
+            old, new = parent[j], parent[i]
+            parent = [new if v == old else v for v in parent]
+    best = {}
+    for x, c in zip(now, parent, strict=True):
+        best[c] = min(best.get(c, x), x, key=lambda v: (v[0] is None, v[0] or 0))
+    want = list(best.values())
+    assert len(want) < len(now) - 12 and step("near dedup") == sorted_rows(want)
+    now = want
+    # 4
+    seen: dict[bytes, int] = {}
+    last = 2**63
+    coded = sorted(((last if x[0] is None else x[0], x[1].encode(), x) for x in now), key=lambda v: v[:2])
+    for d, raw, _ in coded:
+        for i in range(len(raw) - 49):
+            seen.setdefault(raw[i : i + 50], d)
+    want = []
+    for d, raw, x in coded:
+        cover = bytearray(len(raw))
+        for i in range(len(raw) - 49):
+            if seen[raw[i : i + 50]] < d:
+                cover[i : i + 50] = b"\1" * 50
+        want.append(fresh(x, bytes(v for v, c in zip(raw, cover, strict=True) if not c).decode()))
+    assert any(len(a[1]) < len(b[2][1]) for a, b in zip(want, coded, strict=True)) and step("passage dedup") == sorted_rows(want)
+    # 5, through run(): every id of every text that is left, once, in sequences without gaps
+    t = Tokenizer.from_file(WORD)
+    ids = {x[0]: [*t.encode(x[1], add_special_tokens=False).ids, 2] for x in want}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = defaultdict(list)
+    for p in pieces:
+        assert zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32 and p.doc_tokens == len(ids[p.doc_id])
+        got[p.doc_id] += range(p.start, p.start + p.length)
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(range(len(v))) for k, v in ids.items()}
+
+
+def test_stages_take_an_empty_table(empty, spark, tmp_path):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == empty.columns)
