@@ -19,27 +19,32 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the adaptive rules keep, whole rows. Null and empty texts go; repeated rows all stay or all go. No rows give no rows; further columns stay, whatever their names."""
     return rules.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of ten and more sources stay in their first document only. Null texts stay null; a text of such lines alone becomes empty. No rows give no rows; further columns stay, whatever their names."""
     return counted(lines.clean_lines(docs).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates. Null and empty texts are one class; of repeated rows one stays. No rows give no rows; further columns stay, whatever their names."""
     return neardup.keep_one(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every byte of a 50-byte string that a smaller doc_id has goes. Null texts stay null; repeated rows are cut alike. No rows give no rows; further columns stay, whatever their names."""
     return counted(repeats.remove_repeats(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts in sequences of powers of two. A null or empty text is its end id; repeated rows are packed each. No rows give no pieces."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near dedup", near_dedup), ("passage dedup", passage_dedup), ("packing", pack)]
-#: Signatures, transforms and tokens have no SQL; tests hold every stage against a brute-force version.
+#: Signatures, transforms and tokens have no SQL; a test holds every stage, and run(), against brute force.
 ORACLE_SQL = None
 
 
