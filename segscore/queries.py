@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import oracles as O
 from .functions import text as T
@@ -582,7 +583,7 @@ def span_agreement(spark, d):
     return r6(counts.groupBy("user_id").agg(M.ratio(2 * F.sum("m"), F.sum("n")).alias("f1")))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())  # a type by name would need a session when this module is imported
 def matched(a: pd.Series, b: pd.Series) -> pd.Series:
     rows = lambda v: np.array([(x["start"], x["end"]) for x in v], np.int64).reshape(-1, 2)
     return pd.Series([matches(rows(x), rows(y)) for x, y in zip(a, b, strict=True)])
