@@ -296,7 +296,9 @@ def bootstrap_weights(spark, d):
 
 def boot(spark, d, stream: str, split: str, stratum: str | None = "ctype", score: str = "score", n: int = 200):
     rows = tuned(spark, d, score).where(F.col("split") == split)
-    w = B.weights(rows.select("contract_id", "ctype").distinct(), "contract_id", stratum, n, stream)
+    # Contracts come from the segments alone: no threshold has to be tuned for them.
+    contracts = P.segments(P.table(spark, d, "events")).where(F.col("split") == split).select("contract_id", "ctype").distinct()
+    w = B.weights(contracts, "contract_id", stratum, n, stream)
     return B.resampled_f1(M.label_counts(rows, ["contract_id", "label"]), w, "contract_id")
 
 
