@@ -7,8 +7,12 @@ arc t behind s exists if, unrolled to the time when the younger of the two was m
 removed it. The gadgets are kept as tables (both parts of each token, the token of each removed pair); arcs are read off
 them and kept in a transition table as they are first needed, the way a large automaton is determinised lazily.
 
-A word has exactly one accepted path: the tokens that BPE gives. Encoding walks it, longest arc first, by the transition
-table, and goes back where a state has no further arc. Decoding emits the arcs' labels, the tokens' bytes.
+A word has exactly one accepted path: the tokens that BPE gives; so has each of its prefixes. Read byte by byte, the
+automaton over tokens becomes a deterministic one over bytes: a state holds the token that ended last and the labels still
+open, each behind the token it would follow. Its table maps (state, byte) to a state; a row's entry is made when a word
+first asks for it, by one step of the subset construction. Encoding runs once over the bytes by the table, notes which
+token ends at each, and reads the path off from the end; nothing is tried twice. Decoding emits the arcs' labels, the
+tokens' bytes.
 """
 
 from __future__ import annotations
@@ -37,8 +41,10 @@ def byte_letters() -> dict[str, int]:
 class Automaton:
     """The automaton of a byte-level BPE vocabulary (a tokenizers JSON file)."""
 
-    #: Transitions kept at most; beyond it the table starts anew.
-    KEPT = 2_000_000
+    #: Arcs kept at most; beyond it they are read off the gadgets again.
+    KEPT = 1_000_000
+    #: States of the byte table kept at most; beyond it the table starts anew from the state it is in.
+    STATES = 150_000
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -57,8 +63,19 @@ class Automaton:
             u, v = merge if isinstance(merge, list) else merge.split(" ")
             self.gadget(vocab[u], vocab[v], vocab[u + v])
         self.arcs: dict[tuple[int, int], bool] = {}
-        self.by_label = {self.labels[i]: a for a, i in enumerate(self.ids)}
-        self.longest = max(map(len, self.by_label))
+        self.sizes = [len(self.labels[i]) for i in self.ids]
+        # The labels as a tree: (node, byte) to node, the token whose label ends at a node, and whether longer labels pass it.
+        self.tree: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        self.passed: list[bool] = [True]
+        for a, i in enumerate(self.ids):
+            self.grow(self.labels[i], a)
+        # The byte table: (state, byte) to state; a state's open labels; the token that ended on entering it.
+        self.table: dict[int, int] = {}
+        self.numbers: dict[tuple[tuple[int, int], ...], int] = {}
+        self.opened: list[tuple[tuple[int, int], ...]] = []
+        self.last: list[int] = []
+        self.start = self.number(((-1, 0),))
         self.special = {t["content"]: t["id"] for t in told.get("added_tokens", [])}
         self.labels |= {i: t.encode() for t, i in self.special.items()}
 
@@ -99,31 +116,62 @@ class Automaton:
         self.arcs[key] = ok
         return ok
 
+    def grow(self, label: bytes, token: int) -> None:
+        node = 0
+        for byte in label:
+            self.passed[node] = True
+            to = self.tree.get(node << 8 | byte)
+            if to is None:
+                to = self.tree[node << 8 | byte] = len(self.ends)
+                self.ends.append(-1)
+                self.passed.append(False)
+            node = to
+        self.ends[node] = token
+
+    def number(self, opened: tuple[tuple[int, int], ...]) -> int:
+        """The state of these open labels; the last of them is none yet, behind the token that just ended."""
+        if (found := self.numbers.get(opened)) is None:
+            found = self.numbers[opened] = len(self.opened)
+            self.opened.append(opened)
+            self.last.append(opened[-1][0])
+        return found
+
+    def step(self, state: int, byte: int) -> int:
+        """One entry of the table: all open labels move on by the byte; the one that may end here does (there is one only)."""
+        opened, ended = [], -1
+        for s, node in self.opened[state]:
+            to = self.tree.get(node << 8 | byte)
+            if to is None:
+                continue
+            if ended < 0 and (token := self.ends[to]) >= 0 and (s < 0 or self.arc(s, token)):
+                ended = token
+            if self.passed[to]:
+                opened.append((s, to))
+        if len(self.opened) >= self.STATES:
+            here = self.opened[state]
+            self.table.clear()
+            self.numbers.clear()
+            self.opened.clear()
+            self.last.clear()
+            self.start = self.number(((-1, 0),))
+            state = self.number(here)
+        to = self.table[state << 8 | byte] = self.number((*opened, (ended, 0)))
+        return to
+
     def encode(self, word: bytes) -> list[int]:
         """The ids along the one accepted path of the word."""
-        path: list[int] = []
-        starts: list[int] = []
-        at, size = 0, min(self.longest, len(word))
-        dead: set[int] = set()  # places from which no path goes on
-        while at < len(word):
-            found = None
-            while size:
-                if (token := self.by_label.get(word[at : at + size])) is not None and at + size not in dead and (not path or self.arc(path[-1], token)):
-                    found = token
-                    break
-                size -= 1
-            if found is not None:
-                path.append(found)
-                starts.append(at)
-                at += size
-                size = min(self.longest, len(word) - at)
-            else:
-                # The state behind path[-1] can't go on here: a shorter arc must lead past this place.
-                dead.add(at)
-                last = path.pop()
-                at = starts.pop()
-                size = len(self.labels[self.ids[last]]) - 1
-        return [self.ids[t] for t in path]
+        table, last, state = self.table, self.last, self.start
+        ended: list[int] = []
+        for byte in word:
+            to = table.get(state << 8 | byte)
+            state = self.step(state, byte) if to is None else to
+            ended.append(last[state])
+        path, at = [], len(word)
+        while at:
+            token = ended[at - 1]
+            path.append(self.ids[token])
+            at -= self.sizes[token]
+        return path[::-1]
 
     def decode(self, ids: list[int]) -> str:
         """The labels along a path, as text; bytes that are no UTF-8 become U+FFFD."""

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from segscore.llm import bpe, chat, fingerprints, graph, lines, neardup, packing, repeats, rules, sharding, warc
 
+BYTES = {b: c for c, b in bpe.byte_letters().items()}
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _row string, node string"
 
@@ -519,6 +520,19 @@ def test_bpe_automaton_on_random_words():
         assert e.encode(x) == t.encode(x, add_special_tokens=False).ids
 
 
+def test_bpe_automaton_with_a_small_table(monkeypatch):
+    """The table starts anew within words, and nothing changes."""
+    t = Tokenizer.from_file(BYTE)
+    monkeypatch.setattr(bpe.Automaton, "STATES", 7)
+    monkeypatch.setattr(bpe.Automaton, "KEPT", 5)
+    a = bpe.Automaton(BYTE)
+    for word in ("internationalisation", " " * 300, "a" * 1000, "abcabcabcab" * 20, "é中é中", "theretheing"):
+        assert a.encode(word.encode()) == [x.id for x in t.model.tokenize("".join(BYTES[b] for b in word.encode()))]
+        assert a.decode(a.encode(word.encode())) == word
+        assert len(a.opened) <= 8 and len(a.arcs) <= 5
+    assert a.encode(b"") == []
+
+
 # ---- 10
 
 
