@@ -66,13 +66,13 @@ def oracle_sql() -> dict[str, str]:
     return {"op2_line_dedup": OP2, "op5_warc": OP5}
 
 
-OP2 = """
+OP2 = r"""
 WITH l AS (
   SELECT doc_id, coalesce(source, '') AS site, i, string_split(text, chr(10))[i] AS line
   FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 ), b AS (
-  SELECT trim(line) AS t, min(doc_id) AS first FROM l WHERE length(trim(line)) >= 20
-  GROUP BY 1 HAVING count(DISTINCT site) >= 10
+  SELECT trim(line) AS t, min(doc_id) AS first FROM l WHERE regexp_matches(line, '[^ \t\x0B\f\r]')
+  GROUP BY 1 HAVING count(DISTINCT site) >= CASE WHEN length(trim(line)) < 20 THEN 15 ELSE 10 END
 ), k AS (
   SELECT l.*, b.first IS NOT NULL AND l.doc_id <> b.first AS gone FROM l LEFT JOIN b ON trim(l.line) = b.t
 )

@@ -115,28 +115,40 @@ def test_word_encoder_equals_the_library():
 
 
 def test_line_dedup(docs):
-    sites, least = 5, 20
+    sites, short_sites, short = 5, 7, 20
     spread, first = defaultdict(set), {}
     for d, x, _, s, *_ in rows():
         for line in text_of(x).split("\n"):
             k = line.strip(" ")
-            if len(k) >= least:
+            if line.strip(" \t\v\f\r"):
                 spread[k].add(text_of(s))
                 if d is not None:
                     first[k] = min(d, first.get(k, d))
-    bad = {k for k, v in spread.items() if len(v) >= sites}
+    bad = {k for k, v in spread.items() if len(v) >= (short_sites if len(k) < short else sites)}
     assert bad
     want = []
     for d, x, *_ in rows():
         parts = text_of(x).split("\n")
         kept = [v for v in parts if not (v.strip(" ") in bad and (d is None and v.strip(" ") in first or d is not None and d != first.get(v.strip(" "))))]
         want.append((d, None if x is None else "\n".join(kept), 0 if x is None else len(parts) - len(kept)))
-    out = lines.clean_lines(docs, sites, least)
+    out = lines.clean_lines(docs, sites, short_sites, short)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     key = lambda v: (v[0] is None, v[0] or 0, v[1] or "")
     assert sorted([(x.doc_id, x.text, x.n_removed) for x in out.collect()], key=key) == sorted(want, key=key)
 
 
+def test_short_lines_need_more_sites(spark):
+    """Short lines go from 15 sites on, in steps of one site around it; blank ones never."""
+    rows = [(100 * n + i, f"own line of document {100 * n + i}\n  at {n}\n \t\r\n", f"s{i}") for n in (9, 10, 14, 15, 16, 30) for i in range(n)]
+    rows += [(5000 + 100 * n + i, f"a line that stands on {n} sites", f"s{i}") for n in (9, 10, 11) for i in range(n)]
+    got = {x.doc_id: x for x in lines.clean_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for d, x, _ in rows:
+        n, i = divmod(d % 5000, 100)
+        gone = i > 0 and n >= (10 if d >= 5000 else 15)
+        assert got[d].n_removed == gone
+        assert got[d].text == ("\n".join(v for v in x.split("\n") if v != f"  at {n}" and not v.startswith("a line that")) if gone else x)
+
+
 # ---- 3
 
 
@@ -694,7 +706,7 @@ def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
         for k in {v.strip(" ") for v in x.split("\n")}:
             spread[k].add(text_of(s))
             first[k] = d if k not in first else min(first[k], d, key=lambda v: (v is None, v or 0))
-    gone = {k for k, v in spread.items() if len(k) >= 20 and len(v) >= 10}
+    gone = {k for k, v in spread.items() if k and len(v) >= (15 if len(k) < 20 else 10)}
     assert gone
     want = [fresh(x, "\n".join(v for v in x[1].split("\n") if v.strip(" ") not in gone or x[0] == first[v.strip(" ")])) for x in now]
     assert step("line dedup") == sorted_rows(want)
