@@ -28,8 +28,9 @@ def boilerplate(docs: DataFrame, sites: int, short_sites: int, short_chars: int)
     seen = F.filter(F.split("_text", "\n"), lambda x: x.rlike(SEEN))
     lines = F.array_distinct(F.transform(seen, lambda x: F.struct(line_hash(x).alias("h"), (F.length(F.trim(x)) < short_chars).alias("short"))))
     rows = docs.select("_key", "_id", F.xxhash64(F.coalesce("_site", F.lit(""))).alias("site"), F.inline(lines))
-    spread = rows.groupBy("h").agg(F.min("site").alias("low"), F.max("site").alias("high")).where("low <> high").select("h")
-    rows = saved(rows.join(spread, "h"), "shared-lines")
+    # Written, so that the join has an exchange of its own on each side and adaptive execution may split a hot line.
+    spread = saved(rows.groupBy("h").agg(F.min("site").alias("low"), F.max("site").alias("high")).where("low <> high").select("h"), "many-sites")
+    rows = saved(rows.join(spread, "h"), "shared-lines", (spread,))
     sketched = saved(rows.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("estimate"), F.min("_id").alias("first"), F.when(F.max("short"), short_sites).otherwise(sites).alias("bound")), "line-spread")
     room = F.greatest(F.lit(1.0), F.col("bound") * (ERROR * NEAR))
     near = sketched.where(F.abs(F.col("estimate") - F.col("bound")) <= room).select("h", "bound")
