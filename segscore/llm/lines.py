@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, saved
+from .common import maybe_in, saved
 
 #: Relative error of a sketch of 2**12 registers, and how many of it count as near the threshold.
 LOG_K, ERROR, NEAR = 12, 1.04 / 64, 5
@@ -34,7 +34,9 @@ def boilerplate(docs: DataFrame, sites: int, short_sites: int, short_chars: int)
     sketched = saved(rows.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("estimate"), F.min("_id").alias("first"), F.when(F.max("short"), short_sites).otherwise(sites).alias("bound")), "line-spread")
     room = F.greatest(F.lit(1.0), F.col("bound") * (ERROR * NEAR))
     near = sketched.where(F.abs(F.col("estimate") - F.col("bound")) <= room).select("h", "bound")
-    exact = rows.join(near, "h").groupBy("h", "bound", "site").agg(F.min("_id").alias("first")).groupBy("h", "bound").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    # One row per line and site before lines meet: a hot line is then as many rows as it has sites.
+    sites_of = maybe_in(rows, "h", near.select("h")).groupBy("h", "site").agg(F.min("_id").alias("first"))
+    exact = sites_of.join(near, "h").groupBy("h", "bound").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     found = sketched.where(F.col("estimate") > F.col("bound") + room).select("h", "first").unionByName(exact.where("n >= bound").select("h", "first"))
     return rows, found
 
