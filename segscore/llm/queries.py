@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, lines, neardup, packing, repeats, rules, sharding, warc
+from . import bpe, chat, fingerprints, infill, lines, neardup, packing, repeats, rules, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.arrange(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op5_warc": OP5}
+    return {"op2_line_dedup": OP2, "op5_warc": OP5, "op11_fill_in_middle": OP11}
 
 
 OP2 = r"""
@@ -92,3 +96,29 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN first <> page_id THEN first END AS refers_to, true AS digest_ok
 FROM f
 """
+
+OP11 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), k AS (
+  SELECT *, ('0x' || substring(h, 1, 8))::BIGINT % (n + 1) AS k1, ('0x' || substring(h, 9, 8))::BIGINT % (n + 1) AS k2,
+         ('0x' || substring(h, 17, 8))::BIGINT % 100 AS k3, ('0x' || substring(h, 25, 8))::BIGINT % 100 AS k4
+  FROM d
+), f AS (
+  SELECT *, least(k1, k2) AS a, greatest(k1, k2) AS b,
+         CASE WHEN n = 0 OR k3 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+              WHEN k4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+), p AS (
+  SELECT *, '<P>' || substring(t, 1, a) AS pre, '<S>' || substring(t, b + 1, n - b) AS suf,
+         '<M>' || substring(t, a + 1, b - a) AS mid
+  FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN pre || suf || mid ELSE suf || pre || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
