@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten and more sources stay in their first document only. Null texts stay null; a text of such lines alone becomes empty. No rows give no rows; further columns stay, whatever their names."""
-    return counted(lines.clean_lines(docs).select(*docs.columns))
+    return counted(lines.clean_lines(docs).select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

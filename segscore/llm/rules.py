@@ -2,9 +2,15 @@
 
 Every document gets the fixed base measures and some ratios. The ratios go into mergeable quantile sketches per
 (lang, source): counts over logarithmic bins of a bounded relative error, so that sketches of parts, of a language, and
-of all documents are sums of counts. A document is rejected where a ratio lies far outside its own group's spread. The
-quantiles of a group are blended with those of its language, and these with those of all documents, each by the number of
-documents behind it, so that small groups lean on larger ones and none is left out.
+of all documents are sums of counts. A document is rejected where a ratio lies, on a logarithmic scale, further from its
+group's median than a multiple of the distance from the median to the quartile on that side: the group's own spread, which
+junk in up to a quarter of it cannot move, is all that a bound comes from. The quantiles of a group are blended with those
+of its language, and these with those of all documents, each by the number of documents behind it, so that small groups
+lean on larger ones and none is left out.
+
+Counts that are mostly zero enter by what they surely exceed (a count less its square root, so that one symbol or one
+repeated line is no evidence) with half an occurrence added to count and size. Then a text without any has a ratio too,
+the smaller the longer it is, and a group without symbols still has a spread.
 """
 
 from __future__ import annotations
@@ -22,11 +28,15 @@ from .common import pick, saved, slices, texts, tidy
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: The ratios held against adaptive thresholds, and how far from the median a threshold lies at least: a text of ten words
-#: may have a symbol, and in one of three lines the header may stand again as the footer.
-RATIOS = {"symbols": "n_symbols / n_words", "dup_lines": "n_dup_lines / n_lines", "word_length": "word_chars / n_words"}
-ROOM = {"symbols": 0.1, "dup_lines": 0.35, "word_length": 2.0}
-GROWTH = 1.02
+#: The ratios; those held against thresholds, with the multiple of the quartile's distance at which their bounds lie.
+RATIOS = {
+    "symbols": "(n_symbols - sqrt(n_symbols) + 0.5) / (n_words + 0.5)",
+    "dup_lines": "(n_dup_lines - sqrt(n_dup_lines) + 0.5) / (n_lines + 0.5)",
+    "word_length": "word_chars / n_words",
+    "words": "n_words",
+}
+SPREAD = {"symbols": 4.0, "dup_lines": 2.5, "word_length": 6.0}
+GROWTH = 1.002
 #: Words that a task numbers before it starts anew, and the weight of the larger group in a blend, in documents.
 MEMO, PRIOR = 200_000, 200
 
@@ -121,13 +131,8 @@ def quantiles(sketches: DataFrame, by: list[str], at: dict[str, float]) -> DataF
     return rows.groupBy(*by, "metric").agg(F.first("total").alias("total"), *(F.min(F.when(F.col("upto") >= F.col("total") * q, value)).alias(name) for name, q in at.items()))
 
 
-def thresholds(measured: DataFrame, spread: float, prior: float) -> DataFrame:
-    """lang, source and one upper and lower bound per ratio.
-
-    A bound is the median plus or minus `spread` times the distance from the median to the upper (lower) quartile, which
-    junk in up to a quarter of a group cannot move, and never nearer than half the median (or ROOM) away: where a group
-    hardly varies, a small difference isn't a fault.
-    """
+def thresholds(measured: DataFrame, prior: float) -> DataFrame:
+    """lang, source, and per ratio the logarithms of its blended quartiles: <ratio>_low, <ratio>_mid, <ratio>_high."""
     long = measured.where("n_words > 0").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(e).cast("double").alias("x")) for m, e in RATIOS.items()))).alias("v"), F.lit(1).alias("n")).select("lang", "source", "v.metric", "v.x", "n")
     fine = saved(sketch(long, ["lang", "source"]), "quantile-sketches")
     at = {"low": 0.25, "mid": 0.5, "high": 0.75}
@@ -137,40 +142,50 @@ def thresholds(measured: DataFrame, spread: float, prior: float) -> DataFrame:
     both = group.join(lang, group["lang"].eqNullSafe(lang["l_lang"]) & (group["metric"] == lang["l_metric"])).join(F.broadcast(every), F.col("metric") == F.col("a_metric"))  # `every` has a row per ratio
 
     def blended(c: str) -> Column:
-        whole = (F.col("l_total") * F.col(f"l_{c}") + prior * F.col(f"a_{c}")) / (F.col("l_total") + prior)
-        return (F.col("total") * F.col(c) + prior * whole) / (F.col("total") + prior)
+        whole = (F.col("l_total") * F.log(f"l_{c}") + prior * F.log(f"a_{c}")) / (F.col("l_total") + prior)
+        return (F.col("total") * F.log(c) + prior * whole) / (F.col("total") + prior)
 
-    low, mid, high = map(blended, at)
-    least_room = F.create_map(*(F.lit(x) for pair in ROOM.items() for x in pair))
-    room = F.greatest(mid * 0.5, F.element_at(least_room, F.col("metric")))
-    rows = both.select("lang", "source", "metric", (mid + F.greatest((high - mid) * spread, room)).alias("upper"), (mid - F.greatest((mid - low) * spread, room)).alias("lower"))
+    rows = both.select("lang", "source", "metric", *(blended(c).alias(c) for c in at))
     # Saved, so that the planner knows its size: a small table goes to the rows, a large one is joined by shuffle.
-    return saved(rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in RATIOS for c in ("upper", "lower"))), "bounds", (fine,))
+    return saved(rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in RATIOS for c in at)), "bounds", (fine,))
 
 
-def verdicts(measured: DataFrame, narrow: DataFrame, spread: float, prior: float, salts: int) -> DataFrame:
+def verdicts(measured: DataFrame, narrow: DataFrame, spread: dict[str, float], prior: float, salts: int) -> DataFrame:
     """measured (any columns, _lang, _source and the measures) with base_failed and kept; narrow: lang, source, measures."""
-    bounds = thresholds(narrow, spread, prior)
+    bounds = thresholds(narrow, prior)
     # Beyond the size of a broadcast, a hot source meets its bounds in `salts` tasks: these are repeated, rows are dealt out.
     salted = measured.withColumn("_s", F.pmod(F.xxhash64("_k0", *BASE), F.lit(salts)))
     null = F.lit("\0null")
+    known = [c for c in bounds.columns if c not in ("lang", "source")]
     bounds = bounds.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    bounds = bounds.select("_s", F.coalesce("lang", null).alias("_l"), F.coalesce("source", null).alias("_o"), *(f"{m}_{c}" for m in RATIOS for c in ("upper", "lower")))
+    bounds = bounds.select("_s", F.coalesce("lang", null).alias("_l"), F.coalesce("source", null).alias("_o"), *known)
     joined = salted.withColumn("_l", F.coalesce("_lang", null)).withColumn("_o", F.coalesce("_source", null)).join(bounds, ["_s", "_l", "_o"], "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
-    def inside(metric: str) -> Column:
-        x = F.expr(f"try_divide({RATIOS[metric].replace(' /', ',')})").cast("double")
-        return F.coalesce(x.between(F.col(f"{metric}_lower"), F.col(f"{metric}_upper")), F.lit(True))
-
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside("symbols") & inside("dup_lines") & inside("word_length"))
-
-
-def judge(docs: DataFrame, spread: float = 4.0, prior: float = PRIOR, salts: int = 16) -> DataFrame:
+    def beyond(metric: str, end: str, wide: Column) -> Column:
+        """How far the ratio's logarithm lies beyond the bound on the side of a quartile; over 0: outside."""
+        x = F.log(F.expr(f"CASE WHEN n_words > 0 THEN {RATIOS[metric]} END").cast("double"))
+        mid, quartile = F.col(f"{metric}_mid"), F.col(f"{metric}_{end}")
+        sign = 1 if end == "high" else -1
+        return sign * (x - mid) - spread[metric] * sign * (quartile - mid) * wide
+
+    # A mean over few words varies more: the spread of a text shorter than its group's median grows as that of a mean does.
+    wide = F.greatest(F.lit(1.0), F.sqrt(F.exp("words_mid") / F.nullif(F.col("n_words"), F.lit(0))))
+    one = F.lit(1.0)
+    faults = [(F.col("n_symbols") > 1) & (beyond("symbols", "high", one) > 0), (F.col("n_dup_lines") > 1) & (beyond("dup_lines", "high", one) > 0)]
+    faults += [beyond("word_length", end, wide) > 0 for end in ("low", "high")]
+    good = ~failed
+    for fault in faults:
+        good = good & ~F.coalesce(fault, F.lit(False))
+    return joined.withColumn("base_failed", failed).withColumn("kept", good)
+
+
+def judge(docs: DataFrame, spread: dict[str, float] = SPREAD, prior: float = PRIOR, salts: int = 16) -> DataFrame:
     """doc_id, lang, source, the base measures, base_failed, kept for every row.
 
     base_failed: under 10 words, or more than a fifth of the words lie in repeated 5-word windows. kept: not failed, and
-    every ratio lies within its group's thresholds. Null lang or source is a group like any other. A null or empty text
+    every ratio lies within its group's thresholds; a text without symbols (repeated lines), or with one, is never too rich
+    in them. Null lang or source is a group like any other. A null or empty text
     fails for lack of words; repeated rows are judged each; an empty table gives no rows; further columns are ignored.
     """
     measured = saved(measure(docs, ["doc_id", "lang", "source"]).withColumnsRenamed({"_k1": "lang", "_k2": "source"}), "measures")
@@ -178,7 +193,7 @@ def judge(docs: DataFrame, spread: float = 4.0, prior: float = PRIOR, salts: int
     return verdicts(rows, measured, spread, prior, salts).select(F.col("_k0").alias("doc_id"), "lang", "source", *BASE, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, spread: float = 4.0, prior: float = PRIOR, salts: int = 16) -> DataFrame:
+def keep_good(docs: DataFrame, spread: dict[str, float] = SPREAD, prior: float = PRIOR, salts: int = 16) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns, whatever the names.
 
     A null or empty text goes for lack of words; every row is judged for itself, so that of repeated rows all stay or

@@ -119,6 +119,15 @@ def shard_documents(docs: DataFrame, tree: HashTree, grown: HashTree, key: str =
     return gapless(rows, "shard", ["doc_id", "size", "text_crc32"], "slot", buckets).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def write_shards(docs: DataFrame, tree: HashTree, path: str, key: str = "doc_id") -> None:
-    """Writes docs into one folder per shard; a shard may be many files, written by many tasks."""
-    docs.withColumn("shard", tree.shard(F.col(key))).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, tree: HashTree, path: str, key: str = "doc_id") -> str:
+    """Writes docs into one folder per shard and returns the folders' column; a shard may be many files, written by many tasks.
+
+    The column is `shard`, or, where docs has that name, the first of `shard_`, `shard__`, ... that it has not, so that every
+    column of docs is kept. A null key is hashed like any value; equal keys, and so repeated rows, lie in one shard; empty
+    and very long texts are written like others; an empty table writes no folder.
+    """
+    taken, column = {c.lower() for c in docs.columns}, "shard"
+    while column in taken:
+        column += "_"
+    docs.withColumn(column, tree.shard(F.col(f"`{key}`"))).write.partitionBy(column).parquet(path)
+    return column

@@ -3,6 +3,7 @@ columns of clashing names, and empty tables."""
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -51,6 +52,26 @@ def text_of(x) -> str:
     return x or ""
 
 
+def test_written_shards_keep_a_users_shard(spark, tmp_path):
+    tree = sharding.HashTree(2, 3, 4)
+    df = spark.createDataFrame([(1, "mine", None), (1, "mine", None), (None, "x", "t"), (2, None, "")], "doc_id long, Shard string, text string")
+    column = sharding.write_shards(df, tree, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert column == "shard_" and Counter(tuple(x) for x in back.select(*df.columns).collect()) == Counter(tuple(x) for x in df.collect())
+    assert back.where("doc_id = 1").select("shard_").distinct().count() == 1
+
+
+def test_pipeline_takes_any_column_name(spark):
+    import corpus_pipeline
+
+    made = [(i, f"Word {i} of this text stands here once and for all.\nSecond line {i}.", "en", f"s{i % 3}", 0, i) for i in range(20)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, "")
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b"]
+    assert df.count() > 0
+
+
 def test_empty_tables(empty, spark):
     conv = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
@@ -441,23 +462,30 @@ def test_quality_rules(docs):
 
 def kept_rows(items: list[tuple]) -> list[tuple]:
     """The rows (doc_id, text, lang, source, ...) that the rules keep, from exact quantiles."""
+    less = lambda n: n - math.sqrt(n) + 0.5
     told = []
     for x in items:
         m = measures(text_of(x[1]))
         lines = sum(bool(v.strip(" \t\n\x0b\x0c\r")) for v in text_of(x[1]).split("\n"))
-        told.append((x, m, (m[2] / m[0], m[3] / lines, m[1] / m[0]) if m[0] else None))
+        told.append((x, m, [math.log(v) for v in (less(m[2]) / (m[0] + 0.5), less(m[3]) / (lines + 0.5), m[1] / m[0], m[0])] if m[0] else None))
     quartiles = lambda of: np.array([sorted(of)[int(np.ceil(len(of) * q)) - 1] for q in (0.25, 0.5, 0.75)])
+
+    def spread(x: tuple, i: int) -> np.ndarray:
+        found = None
+        for same in (lambda y: True, lambda y: y[2] == x[2], lambda y: y[2:4] == x[2:4]):
+            own = [v[i] for y, _, v in told if v and same(y)]
+            found = quartiles(own) if found is None else (len(own) * quartiles(own) + 200 * found) / (len(own) + 200)
+        return found
+
     out = []
     for x, m, r in told:
         good = m[0] >= 10 and 100 * m[4] <= 20 * m[0]
-        for i, room in enumerate((0.1, 0.35, 2.0) if good else ()):
-            bound, size = None, 0
-            for same in (lambda y: True, lambda y: y[2] == x[2], lambda y: y[2:4] == x[2:4]):
-                own = [v[i] for y, _, v in told if v and same(y)]
-                bound = quartiles(own) if bound is None else (len(own) * quartiles(own) + 200 * bound) / (len(own) + 200)
-            low, mid, high = bound
-            least = max(room, mid / 2)
-            good &= mid - max(4 * (mid - low), least) <= r[i] <= mid + max(4 * (high - mid), least)
+        if good:
+            (_, mid, high), (_, mid2, high2), (low3, mid3, high3), (_, words, _) = (spread(x, i) for i in range(4))
+            wide = max(1, math.sqrt(math.exp(words) / m[0]))
+            good &= m[2] <= 1 or r[0] - mid <= 4 * (high - mid)
+            good &= m[3] <= 1 or r[1] - mid2 <= 2.5 * (high2 - mid2)
+            good &= -6 * (mid3 - low3) * wide <= r[2] - mid3 <= 6 * (high3 - mid3) * wide
         if good:
             out.append(x)
     return out
@@ -466,7 +494,7 @@ def kept_rows(items: list[tuple]) -> list[tuple]:
 def test_kept_with_planted_junk(spark):
     r = random.Random(12)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
-    clean = lambda: "\n".join(" ".join(word() for _ in range(10)) for _ in range(6))
+    clean = lambda: "\n".join(" ".join(word() for _ in range(10)) for _ in range(r.randint(3, 12)))
     piped = lambda: " | ".join(" ".join(word() for _ in range(2)) for _ in range(40))
     marked = lambda: " ".join(word() + r.choice(["###", "***"]) for _ in range(60))
 
@@ -486,6 +514,24 @@ def test_kept_with_planted_junk(spark):
         assert got == {x[0] for x in kept_rows(made)} == set(range(len(made))) - junk
 
 
+def test_bounds_come_from_the_groups(spark):
+    """The same text is junk where symbols are rare and fine where they are usual; groups' bounds differ."""
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(r.randint(n, n + 4)))
+    text = lambda n, share: " ".join(word(n) + ("%" if r.random() < share else "") for _ in range(r.randint(40, 400)))
+    made = [(i, text(3, 0.0), "en", "prose") for i in range(3000)] + [(3000 + i, text(3, r.uniform(0.05, 0.4)), "en", "tables") for i in range(3000)]
+    made += [(6000 + i, text(9, 0.0), "de", "long words") for i in range(3000)]
+    probe = text(3, 0.15)
+    made += [(9000, probe, "en", "prose"), (9001, probe, "en", "tables"), (9002, text(9, 0), "en", "prose"), (9003, text(9, 0), "de", "long words")]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x.kept for x in rules.judge(df).collect()}
+    assert [got[i] for i in (9000, 9001, 9002, 9003)] == [False, True, False, True]
+    assert sum(not got[i] for i in range(9000)) < 20
+    bounds = rules.thresholds(rules.measure(df, ["lang", "source"]).withColumnsRenamed({"_k0": "lang", "_k1": "source"}), rules.PRIOR).collect()
+    for m in ("symbols", "word_length"):  # every text is one line
+        assert len({round(x[f"{m}_high"], 6) for x in bounds}) == 3
+
+
 def test_quantiles_of_merged_sketches_are_near_exact(spark):
     r = random.Random(4)
     values = [(r.choice("ab"), "m", r.lognormvariate(0, 1), 1) for _ in range(3000)] + [("a", "m", 0.0, 1)] * 10
