@@ -181,11 +181,11 @@ class Automaton:
 class Memo(dict):
     """make(key), kept in two generations: what is in use moves to the younger one, the older is dropped when that is full."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int, longest: int) -> None:
+    def __init__(self, make: Callable, most: int, longest: int) -> None:
         super().__init__()
         self.make, self.most, self.longest, self.older = make, most, longest, {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
@@ -215,14 +215,15 @@ class Encoder:
     def chunk(self, chunk: str) -> tuple[int, ...]:
         return tuple(i for w in self.words.findall(chunk) for i in self.word[w])
 
-    def plain(self, text: str) -> list[int]:
+    def chunks(self, text: str) -> list[str]:
         """Words never cross a space that a visible character precedes, so the text is cut before those."""
         if self.spaced.search(text):
-            chunks = self.words.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            chunks = [first, *map(" ".__add__, rest)]
-        return list(chain.from_iterable(map(self.known.__getitem__, chunks)))
+            return self.words.findall(text)
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)]
+
+    def plain(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.known.__getitem__, self.chunks(text))))
 
     def encode(self, text: str) -> list[int]:
         if self.special is None or not any(map(text.__contains__, self.automaton.special)):

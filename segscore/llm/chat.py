@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Encoder, Memo
 from .common import pick, slices, tidy
 
 END = "\n</turn>\n"
@@ -57,18 +58,20 @@ def parse(text: str) -> Iterator[tuple[str, str, int, int]]:
         at = stop + len(END)
 
 
-class TokenCounter:
-    """The tokens of texts by a tokenizers file, whole batches at a time."""
+class TokenCounter(Encoder):
+    """The number of tokens of a text, from bounded memos of the numbers of its chunks."""
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, pattern: str) -> None:
+        super().__init__(path, pattern)
+        self.known = Memo(lambda chunk: len(self.chunk(chunk)), self.known.most, self.known.longest)
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def plain(self, text: str) -> int:
+        return sum(map(self.known.__getitem__, self.chunks(text)))
 
-    def __call__(self, texts: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __call__(self, text: str) -> int:
+        if self.special is None or not any(map(text.__contains__, self.automaton.special)):
+            return self.plain(text)
+        return sum(1 if i % 2 else self.plain(part) for i, part in enumerate(self.special.split(text)))
 
 
 class Windows:
@@ -120,10 +123,10 @@ class Windows:
         return out
 
 
-def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024, history: int = 128) -> DataFrame:
+def format_windows(conversations: DataFrame, tokenizer: str, pattern: str, budget: int = 1024, history: int = 128) -> DataFrame:
     """One row per window: conv_id, window, text, loss (code-point spans), new_from, tokens.
 
-    tokens: the sum of the formatted turns' tokens by `tokenizer`; over the budget only where one new turn, with the
+    tokens: the sum of the formatted turns' tokens by `tokenizer`, whose pre-split is `pattern`; over the budget only where one new turn, with the
     system turn that stands before it, is. Such a turn is not cut and has no other new turn or history beside it.
     Null roles and texts count as empty. Turns of equal number (and null numbers, which come first) are ordered by role
     and text; repeated rows stay. The rows of a null conv_id form one conversation, and one conversation is one task's
@@ -133,11 +136,12 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = 1024,
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("new_from", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = TokenCounter(tokenizer)
+        count = TokenCounter(tokenizer, pattern)
         now, ready, size = None, [], 0
         for batch in slices(batches, "_x", 4 << 20):
             turns = [(c, r, render(r, x)) for c, r, x in zip(*(batch.column(c).to_pylist() for c in ("_c", "_r", "_x")), strict=True)]
-            for (conv, role, rendered), tokens in zip(turns, count([x[2][0] for x in turns]), strict=True):
+            for conv, role, rendered in turns:
+                tokens = count(rendered[0])
                 if now is None or conv != now.conv:
                     if now is not None:
                         ready.append(now.flush())

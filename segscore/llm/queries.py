@@ -30,7 +30,7 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_windows(rows, public_tokenizers.path("byte_bpe_50k.json")))
+    return chat.read_back(chat.format_windows(rows, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

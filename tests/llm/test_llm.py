@@ -76,7 +76,7 @@ def test_empty_tables(empty, spark):
     conv = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     tree = sharding.HashTree(2, 3, 4)
-    for df in (packing.pack_documents(empty, WORD), lines.clean_lines(empty), neardup.near_classes(empty), chat.read_back(chat.format_windows(conv, BYTE)), warc.read_records(warc.write_archives(pages)), sharding.shard_documents(empty, tree, tree), repeats.removal_digests(empty), rules.judge(empty), bpe.encode_documents(empty, BYTE, public_tokenizers.PATTERN), fingerprints.fingerprint_documents(empty)):
+    for df in (packing.pack_documents(empty, WORD), lines.clean_lines(empty), neardup.near_classes(empty), chat.read_back(chat.format_windows(conv, BYTE, public_tokenizers.PATTERN)), warc.read_records(warc.write_archives(pages)), sharding.shard_documents(empty, tree, tree), repeats.removal_digests(empty), rules.judge(empty), bpe.encode_documents(empty, BYTE, public_tokenizers.PATTERN), fingerprints.fingerprint_documents(empty)):
         assert df.count() == 0
 
 
@@ -295,7 +295,7 @@ def test_chat_round_trip(spark):
         own = sorted((t for t in turns if t[0] == conv), key=order)
         loss = "".join(text_of(t[3]) for t in own if t[2] == "assistant")
         want[conv] = (len(own), hashlib.sha256("".join(f"{text_of(t[2])}\n{text_of(t[3])}\n" for t in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    windows = chat.format_windows(df, BYTE, budget=900, history=300).cache()
+    windows = chat.format_windows(df, BYTE, public_tokenizers.PATTERN, budget=900, history=300).cache()
     got = {x.conv_id: (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in chat.read_back(windows).collect()}
     assert got == want
     nine = sorted(windows.where("conv_id = 9").collect(), key=lambda x: x.window)
