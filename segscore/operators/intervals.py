@@ -30,6 +30,13 @@ def overlap_join(spans: DataFrame, segments: DataFrame, key: str, bucket: int |
     return joined.withColumn("overlap", F.least("s_end", "g_end") - F.greatest("s_start", "g_start")).drop("_b")
 
 
+def fixed_segments(spans: DataFrame, key: str, width: int) -> DataFrame:
+    """key, g_start, g_end: per key the segments of `width`, aligned to 0, from its first span to its last, without a gap."""
+    ends = spans.groupBy(key).agg(F.floor(F.min("s_start") / width).alias("_a"), F.floor((F.max("s_end") - 1) / width).alias("_z"))
+    starts = F.transform(F.sequence("_a", "_z"), lambda i: i * width)
+    return ends.select(key, F.explode(starts).alias("g_start")).withColumn("g_end", F.col("g_start") + width)
+
+
 def covered(pairs: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
     """Keys (segment and category) of which some span lies by `share` in the segment, or spans cover `share` of it."""
     g = pairs.groupBy(*keys).agg(F.max(F.col("overlap") / (F.col("s_end") - F.col("s_start"))).alias("of_span"), (F.sum("overlap") / F.first(F.col("g_end") - F.col("g_start"))).alias("of_segment"))

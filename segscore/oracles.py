@@ -211,8 +211,8 @@ SPANS = """spans AS (SELECT event_id, user_id, event_type, s AS start, s + ceil(
 UNION_ = """u AS (SELECT user_id, event_type, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(n) OVER (PARTITION BY user_id, event_type ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
   SELECT *, CASE WHEN max("end") OVER (PARTITION BY user_id, event_type ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS n FROM spans)) GROUP BY user_id, event_type, g)"""
 INTERVAL_UNION = f'WITH {SPANS}, {UNION_} SELECT user_id, event_type, start, "end" FROM u'
-INTERVAL_OVERLAP_JOIN = f"""WITH {SPANS}, {UNION_}, g AS (SELECT i * 720 AS g_start, i * 720 + 720 AS g_end FROM (SELECT unnest(range(60)) AS i)),
-p AS (SELECT user_id, g_start, event_type, least("end", g_end) - greatest(start, g_start) AS o, "end" - start AS n FROM u JOIN g ON start < g_end AND g_start < "end"),
+INTERVAL_OVERLAP_JOIN = f"""WITH {SPANS}, {UNION_}, g AS (SELECT user_id, i * 720 AS g_start, i * 720 + 720 AS g_end FROM (SELECT user_id, unnest(range(min(start) // 720, (max("end") - 1) // 720 + 1)) AS i FROM u GROUP BY user_id)),
+p AS (SELECT u.user_id, g_start, event_type, least("end", g_end) - greatest(start, g_start) AS o, "end" - start AS n FROM u JOIN g ON u.user_id = g.user_id AND start < g_end AND g_start < "end"),
 c AS (SELECT user_id, g_start, event_type, max(o::DOUBLE / n) AS a, sum(o)::DOUBLE / 720 AS b FROM p GROUP BY ALL)
 SELECT user_id, g_start, event_type, {r6("a")} AS of_span, {r6("b")} AS of_segment FROM c WHERE a >= 0.5 OR b >= 0.5"""
 CROSS_CATEGORY = f"""WITH {SPANS}, {UNION_} SELECT a.event_type AS cat_a, b.event_type AS cat_b, count(*) AS n FROM u a JOIN u b ON a.user_id = b.user_id AND a.event_type < b.event_type AND a.start < b."end" AND b.start < a."end" GROUP BY ALL"""

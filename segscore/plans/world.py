@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
 from ..functions.text import segment_documents
+from ..functions.text import tokens as tokens_of
+from ..operators.curation import tfidf, vocabulary
 from ..sources.scorer import Scorer, probabilities
 
 LABELS = ["buy", "hot", "pricey"]
@@ -49,3 +51,31 @@ def markdown(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame
     body = rows.select(F.struct(*order, line.alias("line")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
     head = f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}"
     return body.select(F.concat_ws("\n", F.lit(head), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("md"))
+
+
+MODELS = ["base", "alt"]
+
+
+def drift_world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(segments, vectors): documents as segments of contracts (a source's documents of one language), for drift studies.
+
+    segments: contract, ctype, split, n_chars, n_tokens, n_oov (against the terms of two and more validation documents), and
+    what two models said, by keyed draws that lean upwards on shift; one in fifty rows failed. vectors: contract, term,
+    weight: the summed unit TF-IDF vectors of its documents.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("contract"), F.col("lang").alias("ctype"), "text")
+    part = draw("drift", "contract") % 3
+    docs = docs.withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("shift"))
+    vocab = vocabulary(docs.where("split = 'val'"), "doc_id", "text", grams=1).select("term", F.lit(1).alias("known"))
+    tokens = docs.select("doc_id", F.explode(tokens_of(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    counts = tokens.join(vocab, "term", "left").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("n_oov"))
+    said = []
+    for m in MODELS:
+        said.append((draw(f"{m} fails", "doc_id") % 50 == 0).alias(f"{m}_failed"))
+        for x in LABELS:
+            noise = (draw(m, F.lit(x), "doc_id") % 1000).cast("double") / 1000
+            said.append((F.lit(0.8) * noise + F.lit(0.2) * (F.col("split") == "shift").cast("int")).alias(f"{m}_p_{x}"))
+    rows = docs.select("doc_id", "contract", "ctype", "split", F.length("text").alias("n_chars"), *said)
+    rows = rows.select("*", *((F.col(f"{m}_p_{x}") >= 0.6).alias(f"{m}_{x}") for m in MODELS for x in LABELS)).join(counts, "doc_id", "left").na.fill(0, ["n_tokens", "n_oov"])
+    vectors = tfidf(docs, "doc_id", "text").join(docs.select("doc_id", "contract"), "doc_id").groupBy("contract", "term").agg(F.sum("weight").alias("weight"))
+    return rows, vectors

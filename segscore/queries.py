@@ -350,8 +350,7 @@ def interval_union(spark, d):
 @query(O.INTERVAL_OVERLAP_JOIN)
 def interval_overlap_join(spark, d):
     merged = I.union_intervals(spans(spark, d), ["user_id", "event_type"]).select("user_id", "event_type", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    grid = spark.range(60).select((F.col("id") * 720).alias("g_start"), (F.col("id") * 720 + 720).alias("g_end"))
-    segs = merged.select("user_id").distinct().crossJoin(grid)  # sixty fixed segments per user
+    segs = I.fixed_segments(merged, "user_id", 720)
     pairs = I.overlap_join(merged, segs, "user_id", bucket=1440)
     return r6(I.covered(pairs, ["user_id", "g_start", "event_type"]))
 
@@ -713,4 +712,4 @@ def lineitem_bootstrap(spark, d):
     return r6(B.interval(s, ["share"]))
 
 
-from . import queries_audit  # noqa: E402, F401  registers its queries
+from . import queries_audit, queries_study  # noqa: E402, F401  register their queries

@@ -165,15 +165,14 @@ def restricted_labels(spark, d):
     return lab.join(en, "doc_id", "left_semi").agg(F.count("*").alias("kept")).crossJoin(en.join(lab, "doc_id", "left_anti").agg(F.count("*").alias("uncovered")))
 
 
-@query(f"""WITH {O.SPANS}, {O.UNION_}, g AS (SELECT user_id, i * 720 AS a, i * 720 + 720 AS z FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(range(60)) AS i)),
+@query(f"""WITH {O.SPANS}, {O.UNION_}, g AS (SELECT user_id, i * 720 AS a, i * 720 + 720 AS z FROM (SELECT user_id, unnest(range(min(start) // 720, (max("end") - 1) // 720 + 1)) AS i FROM u GROUP BY user_id)),
 c AS (SELECT g.user_id, a, z, event_type, max((least(z, "end") - greatest(a, start))::DOUBLE / ("end" - start)) AS x, sum(least(z, "end") - greatest(a, start))::DOUBLE / 720 AS y FROM g JOIN u ON g.user_id = u.user_id AND start < z AND a < "end" GROUP BY ALL),
 h AS (SELECT * FROM c WHERE x >= 0.5 OR y >= 0.5)
 SELECT u.event_type, count(*) AS spans, count_if(EXISTS (SELECT 1 FROM h WHERE h.user_id = u.user_id AND h.event_type = u.event_type AND h.a < u."end" AND u.start < h.z))::BIGINT AS found FROM u GROUP BY 1""")
 def span_recall(spark, d):
     """Merged spans, and those of them that overlap a segment which carries their category."""
     merged = I.union_intervals(spans(spark, d), ["user_id", "event_type"]).select("user_id", "event_type", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    grid = merged.select("user_id").distinct().crossJoin(spark.range(60).select((F.col("id") * 720).alias("g_start"), (F.col("id") * 720 + 720).alias("g_end")))
-    pairs = I.overlap_join(merged, grid, "user_id", bucket=1440)
+    pairs = I.overlap_join(merged, I.fixed_segments(merged, "user_id", 720), "user_id", bucket=1440)
     carried = I.covered(pairs, ["user_id", "g_start", "event_type"]).select("user_id", "g_start", "event_type")
     found = pairs.join(carried, ["user_id", "g_start", "event_type"], "left_semi").select("user_id", "event_type", "s_start").distinct().withColumn("hit", F.lit(1))
     return merged.join(found, ["user_id", "event_type", "s_start"], "left").groupBy("event_type").agg(F.count("*").alias("spans"), F.count("hit").alias("found"))
@@ -273,20 +272,18 @@ def listing_report(spark, d):
     return r6(g.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("source"))).select("source", "lang", "n", "share", "truncated"))
 
 
-@query(f"""WITH {O.SPANS}, {O.UNION_}, w AS (SELECT unnest([360, 720, 1440]) AS width), c AS (SELECT unnest([0.25, 0.5]) AS cover), g AS (SELECT width, user_id, i * width AS a, i * width + width AS z FROM w, (SELECT DISTINCT user_id FROM events), (SELECT unnest(range(120)) AS i) WHERE i * width < 43200),
+@query(f"""WITH {O.SPANS}, {O.UNION_}, w AS (SELECT unnest([360, 720, 1440]) AS width), c AS (SELECT unnest([0.25, 0.5]) AS cover), g AS (SELECT width, user_id, i * width AS a, i * width + width AS z FROM (SELECT width, user_id, unnest(range(min(start) // width, (max("end") - 1) // width + 1)) AS i FROM u, w GROUP BY width, user_id)),
 o AS (SELECT width, g.user_id, a, event_type, max((least(z, "end") - greatest(a, start))::DOUBLE / ("end" - start)) AS x, sum((least(z, "end") - greatest(a, start))::DOUBLE / width) AS y FROM g JOIN u ON g.user_id = u.user_id AND start < z AND a < "end" GROUP BY ALL),
 l AS (SELECT width, cover, user_id, a, count_if(x >= cover OR y >= cover) AS k FROM o, c GROUP BY ALL), s AS (SELECT width, cover, count(*) AS labelled, count_if(k = 1) AS one, count_if(k = 2) AS two, count_if(k >= 3) AS more FROM l WHERE k > 0 GROUP BY ALL), t AS (SELECT width, count(*) AS n FROM g GROUP BY 1)
 SELECT width, cover::DOUBLE AS cover, n AS segments, {r6s('100.0 * (n - labelled) / n')} AS none_pct, {r6s('100.0 * one / labelled')} AS one_pct, {r6s('100.0 * two / labelled')} AS two_pct, {r6s('100.0 * more / labelled')} AS more_pct FROM s JOIN t USING (width)""")
 def segment_grid(spark, d):
     """Segment statistics per cell of a grid of widths and coverage thresholds."""
     merged = I.union_intervals(spans(spark, d), ["user_id", "event_type"]).select("user_id", "event_type", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    users = merged.select("user_id").distinct()
     out = None
     for width in (360, 720, 1440):
-        n = min(120, 43200 // width)
-        segs = users.crossJoin(spark.range(n).select((F.col("id") * width).alias("g_start"), (F.col("id") * width + width).alias("g_end")))
+        segs = I.fixed_segments(merged, "user_id", width)
         pairs = I.overlap_join(merged, segs, "user_id", bucket=1440)
-        total = users.agg((F.count("*") * n).alias("segments"))
+        total = segs.agg(F.count("*").alias("segments"))
         for cover in (0.25, 0.5):
             k = I.covered(pairs, ["user_id", "g_start", "event_type"], cover).groupBy("user_id", "g_start").agg(F.count("*").alias("k"))
             s = k.agg(F.count("*").alias("l"), *(M.n_if(c).alias(f"_{a}") for a, c in (("one", F.col("k") == 1), ("two", F.col("k") == 2), ("more", F.col("k") >= 3)))).crossJoin(total)

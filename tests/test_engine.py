@@ -108,6 +108,8 @@ def test_line_table(spark):
 
 def test_html(spark):
     assert T.html_to_text("<p>A&amp;B</p><script>x</p></script><div> c \xa0 d<br>e</div>") == "A&B\n\nc d\ne\n"
+    assert T.html_to_text("<p>a<script>\n</script>b</p>") == "ab\n"  # a line end that is data, and silent
+    assert T.html_to_text("a<style>\n</style>\n<br>b") == "a\n\nb\n"
     d = spark.createDataFrame([("<style>a",), (None,), ("x",)], "h string").select(T.html_text("h").alias("t")).select("t.*")
     assert [tuple(r) for r in d.collect()] == [(None, "a script or style has no end"), (None, None), ("x\n", None)]
     raw = spark.createDataFrame([(b"\xe2\x82\xac",), (b"\x80",)], "b binary").select(T.decoded(F.col("b")).alias("t"))

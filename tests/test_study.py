@@ -1,0 +1,127 @@
+"""Studies of several operators, against plain loops."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from segscore.operators import checks
+from segscore.operators import driftstudy as Y
+from segscore.operators import retrieval as R
+
+
+def unit(words: list[str], weight: dict[str, float]) -> dict[str, float]:
+    raw = {w: n * weight[w] for w, n in Counter(words).items()}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    return {w: x / norm for w, x in raw.items()}
+
+
+def retrieval_world(seed: int, n: int) -> tuple[dict, dict]:
+    r = random.Random(seed)
+    weight = {f"t{i}": 0.2 + i / 20 for i in range(60)}
+    vectors = {i: unit([f"t{min(int(r.expovariate(0.15)), 59)}" for _ in range(r.randint(1, 25))], weight) for i in range(n)}
+    for i in range(0, n, 9):
+        vectors[i] = vectors[(i * 5 + 3) % n]  # ties
+    vectors[n] = {"alone": 1.0}
+    return vectors, {i: r.random() < 0.3 for i in vectors}
+
+
+@pytest.mark.parametrize("first", [1, 4])
+def test_nearest_examples_equal_all_pairs(spark, first):
+    vectors, labelled = retrieval_world(first, 150)
+    rows = [(i, t, w) for i, v in vectors.items() for t, w in v.items()]
+    df = spark.createDataFrame(rows, "id long, term string, weight double")
+    pool = spark.createDataFrame(list(labelled.items()), "id long, labelled boolean")
+    targets = df.where("id % 3 = 0 or id = 150").withColumnRenamed("id", "target")
+    R.check_unit(df, "id")
+    got = {x.target: (x.labelled, x.other) for x in R.nearest_examples(pool, df, targets, first).collect()}
+    want = {}
+    for t, v in vectors.items():
+        if t % 3 == 0 or t == 150:
+            near = sorted((-round(sum(w * o.get(term, 0) for term, w in v.items()), 9), i) for i, o in vectors.items() if i != t)
+            one = next(i for _, i in near if labelled[i])
+            want[t] = one, next(i for _, i in near if i != one)
+    assert got == want
+
+
+def test_examples_are_distinct_and_in_order(spark):
+    found = spark.createDataFrame([(1, 10, 11), (2, 11, 10), (3, 12, None)], "target long, labelled long, other long")
+    calls = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("b", 0, 2)], "call string, position long, target long")
+    got = sorted(tuple(x) for x in R.examples(found, calls).collect())
+    assert got == [("a", 0, 10), ("a", 1, 11), ("a", 2, 12), ("b", 0, 11), ("b", 1, 10)]
+
+
+def test_vectors_must_have_length_one(spark):
+    with pytest.raises(checks.Refused):
+        R.check_unit(spark.createDataFrame([(1, "a", 0.5)], "id long, term string, weight double"), "id")
+
+
+def test_nothing_labelled_and_empty(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0)], "id long, term string, weight double")
+    pool = spark.createDataFrame([(1, False), (2, False)], "id long, labelled boolean")
+    got = [tuple(x) for x in R.nearest_examples(pool, df, df.withColumnRenamed("id", "target")).collect()]
+    assert sorted(got) == [(1, None, None, 2, 0.0), (2, None, None, 1, 0.0)]
+    assert R.nearest_examples(pool, df, df.withColumnRenamed("id", "target").where("target > 9")).count() == 0
+
+
+# ---- drift study
+
+
+def test_gram_in_blocks_equals_the_matrix_product(spark):
+    r = random.Random(3)
+    m = np.array([[r.choice([0, 0, r.random()]) for _ in range(40)] for _ in range(23)])
+    rows = [(f"k{i:02}", f"t{j}", float(x)) for i, row in enumerate(m) for j, x in enumerate(row) if x]
+    df = spark.createDataFrame(rows, "key string, term string, weight double")
+    want = m @ m.T
+    for block in (5, 512):
+        got = {(x.a, x.b): x["dot"] for x in Y.gram(df, "key", block, term_blocks=3).collect()}
+        assert all(a <= b for a, b in got)
+        for i in range(23):
+            for j in range(i, 23):
+                assert got.get((f"k{i:02}", f"k{j:02}"), 0.0) == pytest.approx(want[i, j])
+    w = spark.createDataFrame([(0, "k01", 2), (0, "k05", 1), (1, "k20", 3)], "batch long, key string, w long")
+    products = Y.gram(df, "key").cache()
+    v = np.zeros((2, 23))
+    v[0, 1], v[0, 5], v[1, 20] = 2, 1, 3
+    assert {x.batch: pytest.approx(x.bb) for x in Y.squares(w, products).collect()} == dict(enumerate(((v @ want) * v).sum(1)))
+    assert {x.key: pytest.approx(x.d) for x in Y.with_all(products).collect()} == {f"k{i:02}": x for i, x in enumerate(want.sum(1))}
+
+
+def test_batches_have_k_places_and_respect_the_multiset(spark):
+    members = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1), ("d", 1), ("e", 0)], "key string, w int")
+    rows = Y.batches(Y.positions(members.where("w > 0"), "key", "w"), 4, 300, "t").collect()
+    of: dict[int, dict] = {}
+    for x in rows:
+        of.setdefault(x.batch, {})[x.key] = x.w
+    assert len(of) == 300 and all(sum(b.values()) == 4 and b.get("a", 0) <= 2 and "e" not in b for b in of.values())
+    out = Counter(5 - sum(v for k, v in b.items()) for b in of.values())
+    assert out == {1: 300}
+    missing = Counter("a" if b.get("a") == 1 else next(k for k in "bcd" if k not in b) for b in of.values())
+    assert all(90 <= missing["a"] <= 150 and 35 <= missing[k] <= 85 for k in "bcd")  # 2 in 5, and 1 in 5 each
+    assert Y.batches(Y.positions(members.where("w > 0"), "key", "w"), 9, 2, "t").groupBy("batch").agg({"w": "sum"}).collect()[0][1] == 5
+
+
+def test_p_values_and_thresholds(spark):
+    null = spark.createDataFrame([(i, "s", v) for i, v in enumerate([1.0, 2.0, 2.0, 3.0])] + [(9, "s", None)], "batch long, stat string, v double")
+    assert {x.batch: x.p for x in Y.p_values(null).collect()} == {0: 1.0, 1: 0.75, 2: 0.75, 3: 0.25, 9: 1.0}
+    new = spark.createDataFrame([(0, "s", 2.0), (1, "s", 9.0), (2, "s", None), (3, "s", 2.5)], "batch long, stat string, v double")
+    assert {x.batch: x.p for x in Y.p_values(null, new).collect()} == {0: 0.8, 1: 0.2, 2: 1.0, 3: 0.4}
+    tied = [(i, "x", s) for i, s in enumerate([0.1] * 5 + [0.5] * 95)] + [(i, "y", s) for i, s in enumerate([0.01] + [0.1] * 2 + [0.5] * 97)]
+    df = spark.createDataFrame(tied, "batch long, group string, score double")
+    assert {(x.group, x.threshold, x.null_alarm_rate) for x in Y.thresholds(df.where("group = 'x'"), 0.01).collect()} == {("x", None, 0.0)}
+    assert {(x.group, x.threshold, x.null_alarm_rate) for x in Y.thresholds(df.where("group = 'y'"), 0.02).collect()} == {("y", 0.01, 0.01)}
+
+
+def test_statistics_of_equal_and_empty_sides(spark):
+    row = {"batch": 0, "bb": 4.0, "br": 4.0, "rr": 4.0}
+    for s in "br":
+        row |= {f"{s}_tokens": 10, f"{s}_oov": 2, f"{s}_m_parsed": 5, f"{s}_m_none": 1} | {f"{s}_l{i}": i for i in range(3)}
+        row |= {f"{s}_m_y{i}": 0 for i in range(2)} | {f"{s}_m_c{i}": 1 for i in range(11)}
+    got = {x.stat: x.v for x in Y.batch_statistics(spark.createDataFrame([row]), ["m"], 2, 3).collect()}
+    assert got.pop("m:label_mix_js") is None
+    assert got == {"oov_rate_diff": 0, "tfidf_centroid_distance": 0, "length_psi": 0, "m:none_share_diff": 0, "m:confidence_psi": 0}
+    far = dict(row, br=0.0, b_l0=9, b_m_y0=3, r_m_y1=2)
+    got = {x.stat: x.v for x in Y.batch_statistics(spark.createDataFrame([far]), ["m"], 2, 3).collect()}
+    assert got["m:label_mix_js"] == pytest.approx(1) and got["tfidf_centroid_distance"] == 1 and got["length_psi"] > 0.1
