@@ -9,6 +9,7 @@ from . import oracles as O
 from .operators import bootstrap as B
 from .operators import curation as C
 from .operators import driftstudy as Y
+from .operators import framedraw as V
 from .operators import retrieval as R
 from .plans import world as P
 from .queries import query, r6
@@ -247,3 +248,29 @@ def drift_alarm_rates(spark, d):
     test = rates.where("set = 'test'").select("group", F.col("adjusted_high").alias("bound"))
     told = F.col("set").isin(*PRIMARY) & F.col("group").isin(*Y.families(P.MODELS))
     return r6(rates.join(test, "group").withColumn("detects", F.when(told, F.col("adjusted_low") > F.col("bound"))).drop("bound"))
+
+
+# ---- a draw with rejections
+
+
+def frame_candidates(spark, d):
+    """(candidates, duplicates, weights of the strata): documents by language, with the reasons that refuse them."""
+    docs = P.table(spark, d, "documents").withColumns(C.marker_rates(F.col("text")))
+    bench = C.containment(C.shingle_rows(docs, "doc_id", "text"), C.shingle_rows(P.table(spark, d, "benchmark"), "item_id", "text"), "doc_id", "item_id")
+    overlap = bench.where("containment >= 0.5").select("doc_id", F.lit(True).alias("overlaps")).distinct()
+    sentences = C.longest_sentences(docs, "doc_id", "text").select("doc_id", F.array_join(F.regexp_extract_all("sentence", F.lit("([A-Za-z0-9]+)"), F.lit(1)), " ").alias("s"))
+    earliest = sentences.groupBy("s").agg(F.min("doc_id").alias("first_doc"))
+    prior = sentences.join(earliest, "s").groupBy("doc_id").agg(((F.count("*") == 3) & F.bool_and(F.col("first_doc") < F.col("doc_id"))).alias("prior"))
+    head = F.lower(F.substring("text", 1, 500))
+    rules = [("too_short", F.length("text") < 500), ("too_long", F.length("text") > 20000), ("amendment", head.rlike("amend") & ~head.contains("amended and restated")), ("form_or_template", F.col("blank_markers") >= 3), ("redacted", F.col("per_1000") > 1), ("overlap", F.coalesce("overlaps", F.lit(False)))]
+    rows = docs.join(overlap, "doc_id", "left").join(prior, "doc_id", "left")
+    rows = rows.select(F.col("doc_id").alias("key"), F.col("lang").alias("stratum"), C.first_reason(rules).alias("first"), F.when(F.col("prior"), "prior_appearance").alias("later"))
+    labels = P.table(spark, d, "labels").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    return rows, C.contained_pairs(docs, "doc_id", "text", 0.8).select("a", "b"), {x.lang: x.n for x in labels.collect()}
+
+
+@query()
+def frame_draw(spark, d):
+    """The log of a draw of sixty documents over the languages in the shares of the labelled ones."""
+    rows, pairs, counts = frame_candidates(spark, d)
+    return V.draw_frame(written(rows, "frame-candidates"), pairs, counts, 60)

@@ -17,11 +17,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CORPUS).option("multiLine", True).json(path).select(F.explode("data").alias("d")).select("d.*")
 
 
-def dense_key(df: DataFrame, by: str, out: str, buckets: int = 256) -> DataFrame:
-    """Distinct values numbered from 0 in order, by sampled ranges of them: no task sorts them all."""
+def dense_key(df: DataFrame, by: str, out: str) -> DataFrame:
+    """Distinct values numbered from 0 in order, by ranges of them: no task sorts them all."""
     from ..operators.bootstrap import numbered
 
-    values = numbered(df.select(by, F.lit(0).alias("_s")).distinct(), by, "_s", buckets)
+    values = numbered(df.select(by, F.lit(0).alias("_s")).distinct(), by, "_s")
     return df.join(values.select(by, F.col("_i").alias(out)), by)
 
 
