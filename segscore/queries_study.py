@@ -6,10 +6,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import oracles as O
+from .functions.hashing import draw
+from .operators import baseline as A
 from .operators import bootstrap as B
+from .operators import callrun as L
 from .operators import curation as C
 from .operators import driftstudy as Y
 from .operators import framedraw as V
+from .operators import metrics as M
 from .operators import retrieval as R
 from .plans import world as P
 from .queries import query, r6
@@ -274,3 +278,101 @@ def frame_draw(spark, d):
     """The log of a draw of sixty documents over the languages in the shares of the labelled ones."""
     rows, pairs, counts = frame_candidates(spark, d)
     return V.draw_frame(written(rows, "frame-candidates"), pairs, counts, 60)
+
+
+# ---- baseline models
+
+TRAITS = ["quality", "toxic"]
+SETTINGS = [A.Setting(1, w, c) for w in (False, True) for c in (1.0, 10.0)]
+
+
+def labelled(spark, d):
+    """id, text, split and the two traits of every labelled document."""
+    labels = P.table(spark, d, "labels").select("doc_id", *((F.col(x) == 1).alias(x) for x in TRAITS))
+    part = draw("baseline", "doc_id") % 5
+    rows = P.table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return written(rows.select(F.col("doc_id").alias("id"), "text", F.when(part < 3, "train").when(part == 3, "val").otherwise("test").alias("split"), *TRAITS), "labelled")
+
+
+def r4(df):
+    return df.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query()
+def baseline_search(spark, d):
+    """The log of one-vs-rest models over a grid of settings, and which one is chosen."""
+    return r4(A.search(labelled(spark, d), "text", TRAITS, SETTINGS))
+
+
+@query()
+def baseline_test(spark, d):
+    """Per trait the average precision of a model on test documents, and that of guessing (the share of the trait)."""
+    rows = labelled(spark, d)
+    features, _ = A.vectors(rows.select("id", (F.col("split") == "train").alias("train"), "text"), "text", 1)
+    both = written(features.join(rows.drop("text"), "id"), "labelled-vectors")
+    test = written(A.scored(both.where("split = 'train'"), both.where("split = 'test'"), TRAITS, A.Setting(c=10.0)), "test-scores")
+    share = test.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("guess"))
+    return r4(M.average_precision(test, ["label"]).join(share, "label"))
+
+
+# ---- runs of paid calls
+
+PRICES = {"input": 3.0, "written": 3.75, "output": 15.0}
+CAP, OUTPUT = 1.0, 400
+#: A user's turn is a call; every third one, by draw, is answered already, one in five of those not validly.
+CALLS_SQL = f"""calls AS (SELECT conv_id || ':' || turn AS key, (length(text) / 3.0::DOUBLE * 3.75 + {OUTPUT} * 15.0) / 1000000 AS worst FROM conversations WHERE role = 'user'),
+att AS (SELECT key, 1 AS attempt, {O.draw("valid", "key")} % 5 > 0 AS ok, worst * ({O.draw("cost", "key", "1")} % 100)::DOUBLE / 100 AS cost FROM calls WHERE {O.draw("sent", "key")} % 3 = 0)"""
+
+
+def paid_calls(spark, d):
+    """(calls, attempts so far)."""
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    calls = P.table(spark, d, "conversations").where("role = 'user'").select(key.alias("key"), L.worst_cost(F.length("text"), PRICES, OUTPUT).alias("worst"))
+    return calls, sent(calls.where(draw("sent", "key") % 3 == 0).withColumn("attempt", F.lit(1)))
+
+
+def sent(calls):
+    """The stub of a service: what an attempt cost, and whether its answer was valid, by draw."""
+    cost = F.col("worst") * (draw("cost", "key", "attempt") % 100).cast("double") / 100
+    ok = F.when(F.col("attempt") == 1, draw("valid", "key") % 5 > 0).otherwise(draw("again", "key") % 2 == 0)
+    return calls.select("key", "attempt", ok.alias("ok"), cost.alias("cost"))
+
+
+@query(f"""WITH {CALLS_SQL}, p AS (SELECT c.key, worst, CASE WHEN a.key IS NULL THEN 1 ELSE 2 END AS attempt FROM calls c LEFT JOIN att a ON a.key = c.key WHERE a.key IS NULL OR NOT a.ok),
+r AS (SELECT *, sum(worst) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING) AS reserved, (SELECT coalesce(sum(cost), 0) FROM att) AS paid FROM p)
+SELECT key, attempt, round(worst, 9) AS worst, round(reserved, 9) AS reserved, paid + reserved <= {CAP} AS admitted FROM r""")
+def admitted_calls(spark, d):
+    """The calls that still have to be sent, and which of them the budget admits by their worst cost."""
+    calls, attempts = paid_calls(spark, d)
+    rows = L.admitted(L.pending(calls, attempts), attempts, CAP)
+    return rows.select("key", "attempt", F.round("worst", 9).alias("worst"), F.round("reserved", 9).alias("reserved"), "admitted")
+
+
+@query()
+def settled_run(spark, d):
+    """All attempts when a run has ended, for lack of calls or of money."""
+    calls, attempts = paid_calls(spark, d)
+    return L.run(written(calls, "calls"), written(attempts, "attempts"), sent, CAP)[0].withColumn("cost", F.round("cost", 9))
+
+
+FRAME_SQL = f"""t AS (SELECT doc_id AS segment_id, source || '#' || ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5) AS call FROM documents),
+a AS (SELECT call, unnest(range(1, 2 + ({O.draw("tries", "call")} % 4 = 0)::INT)) AS attempt FROM (SELECT DISTINCT call FROM t)), b AS (SELECT *, ({O.draw("paid", "call", "attempt")} % 1000)::DOUBLE / 1000 AS cost, ({O.draw("took", "call", "attempt")} % 9000)::DOUBLE AS latency_ms FROM a),
+c AS (SELECT call, sum(cost) AS cost, max_by(latency_ms, attempt) AS call_latency FROM b GROUP BY 1), n AS (SELECT call, count(*) AS n FROM t GROUP BY 1),
+s AS (SELECT *, {O.draw("fails", "segment_id")} % 20 = 0 AS parse_failure, {", ".join(f"CASE WHEN {O.draw('fails', 'segment_id')} % 20 > 0 AND {O.draw('said', chr(39) + x + chr(39), 'segment_id')} % 3 = 0 THEN ({O.draw('score', chr(39) + x + chr(39), 'segment_id')} % 100)::DOUBLE / 100 ELSE 0 END AS p_{x}" for x in P.LABELS)} FROM t)"""
+
+
+@query(f"""WITH {FRAME_SQL} SELECT segment_id, call, {O.r6('cost / n')} AS cost, {O.r6('call_latency / n')} AS latency, call_latency, parse_failure, [{", ".join(f"p_{x}" for x in P.LABELS)}] AS proba,
+list_filter([{", ".join(f"CASE WHEN p_{x} >= 0.5 THEN '{x}' END" for x in P.LABELS)}], lambda x: x IS NOT NULL) AS pred_labels FROM s JOIN n USING (call) JOIN c USING (call)""")
+def call_frame(spark, d):
+    """Documents as targets of calls of five: their shares of cost and latency, and dense scores in label order."""
+    docs = P.table(spark, d, "documents")
+    place = F.floor((F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1) / 5)
+    targets = written(docs.select(F.col("doc_id").alias("segment_id"), F.concat_ws("#", "source", place.cast("string")).alias("call")), "targets")
+    tries = F.sequence(F.lit(1), F.when(draw("tries", "call") % 4 == 0, 2).otherwise(1))
+    attempts = targets.select("call").distinct().select("call", F.explode(tries).alias("attempt"))
+    attempts = attempts.select("call", "attempt", ((draw("paid", "call", "attempt") % 1000).cast("double") / 1000).alias("cost"), (draw("took", "call", "attempt") % 9000).cast("double").alias("latency_ms"))
+    said = [F.struct(F.lit(x).alias("label"), (draw("said", F.lit(x), "segment_id") % 3 == 0).alias("said"), ((draw("score", F.lit(x), "segment_id") % 100).cast("double") / 100).alias("score")) for x in P.LABELS]
+    parsed = targets.where(draw("fails", "segment_id") % 20 > 0)
+    scores = parsed.select("call", "segment_id", F.explode(F.array(*said)).alias("s")).where("s.said").select("call", "segment_id", "s.label", "s.score")
+    none = parsed.select("call", "segment_id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("score"))
+    return r6(L.call_frame(targets, attempts, scores.unionByName(none), P.LABELS, {}))

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from segscore.operators import baseline as A
+from segscore.operators import callrun as L
 from segscore.operators import checks
 from segscore.operators import driftstudy as Y
 from segscore.operators import framedraw as V
@@ -201,3 +203,145 @@ def test_frame_of_the_documents_equals_one_after_the_other(spark):
     want = plain_draw([tuple(x) for x in rows.select("key", "stratum", "first", "later").collect()], {tuple(x) for x in pairs.collect()}, counts, 60, "frame")
     assert sorted(tuple(x) for x in Q.frame_draw(spark, d).collect()) == want
     assert {"accepted", "too_short"} <= {x[4] for x in want}
+
+
+# ---- baseline models
+
+
+def training_rows() -> list[tuple]:
+    r = random.Random(8)
+    out = []
+    for i in range(160):
+        a, b = r.random() < 0.4, r.random() < 0.2
+        words = [r.choice(["the", "of", "and", "with", f"w{r.randint(0, 30)}"]) for _ in range(12)]
+        words += ["licence", "grant"] * (a and r.random() < 0.9) + ["insure"] * (b and r.random() < 0.9)
+        out.append((i, " ".join(r.sample(words, len(words))), ["train", "train", "val", "test"][i % 4], a, b))
+    return [*out, (900, "", "train", False, False), (901, "unseenword another", "val", False, True)]
+
+
+def test_features_and_models_equal_a_plain_solver(spark):
+    rows = training_rows()
+    df = spark.createDataFrame(rows, "id long, text string, split string, a boolean, b boolean")
+    features, size = A.vectors(df.select("id", (df.split == "train").alias("train"), "text"), "text", 1)
+    got = {x.id: x.features for x in features.collect()}
+    train = [x for x in rows if x[2] == "train"]
+    tokens = {x[0]: [w for w in x[1].split() if len(w) > 1] for x in rows}
+    df_of = Counter(w for x in train for w in set(tokens[x[0]]))
+    vocab = sorted(w for w, n in df_of.items() if n >= 2)
+    assert size == len(vocab)
+    x = np.zeros((len(rows), size))
+    for i, row in enumerate(rows):
+        for w, n in Counter(tokens[row[0]]).items():
+            if w in vocab:
+                x[i, vocab.index(w)] = (1 + math.log(n)) * (math.log((1 + len(train)) / (1 + df_of[w])) + 1)
+        x[i] /= np.linalg.norm(x[i]) or 1
+        assert np.allclose(got[row[0]].toArray(), x[i])
+    both = features.join(df, "id")
+    is_train = np.array([r[2] == "train" for r in rows])
+    for setting in (A.Setting(c=1.0), A.Setting(weighted=True, c=10.0)):
+        found = {(s.label, s.segment_id): s.p for s in A.scored(both.where("split = 'train'"), both.where("split = 'val'"), ["a", "b"], setting).collect()}
+        for j, label in ((3, "a"), (4, "b")):
+            y = np.array([float(r[j]) for r in rows])[is_train]
+            weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())) if setting.weighted else np.ones(len(y))
+            m = np.hstack([x[is_train], np.ones((len(y), 1))])
+            w = np.zeros(size + 1)
+            penalty = np.append(np.full(size, 1 / (setting.c * len(y))), 0)
+            for _ in range(60):  # Newton steps
+                p = 1 / (1 + np.exp(-m @ w))
+                grad = m.T @ (weight * (p - y)) / weight.sum() + penalty * w
+                hess = (m.T * (weight * p * (1 - p))) @ m / weight.sum() + np.diag(penalty) + 1e-12 * np.eye(size + 1)
+                w -= np.linalg.solve(hess, grad)
+            for i, r in enumerate(rows):
+                if r[2] == "val":
+                    assert found[(label, r[0])] == pytest.approx(1 / (1 + math.exp(-(x[i] @ w[:-1] + w[-1]))), abs=2e-3)
+
+
+def test_search_beats_guessing_and_chooses_one(spark):
+    df = spark.createDataFrame(training_rows(), "id long, text string, split string, a boolean, b boolean")
+    settings = [A.Setting(1, False, 1.0), A.Setting(2, False, 1.0), A.Setting(1, True, 10.0, 0.5)]
+    log = sorted(A.search(df, "text", ["a", "b"], settings).collect(), key=lambda x: x.config_id)
+    val = [x for x in training_rows() if x[2] == "val"]
+    guess = sum(sum(x[j] for x in val) / len(val) for j in (3, 4)) / 2
+    assert all(x.macro_ap > guess + 0.2 for x in log) and sum(x.chosen for x in log) == 1
+    assert log[1].vocab > log[0].vocab and log[2].none_ratio == "0.5" and log[2].train_segments < log[0].train_segments
+    chosen = next(x for x in log if x.chosen)
+    near = [x for x in log if x.macro_ap >= max(y.macro_ap for y in log) - 0.005]
+    assert chosen == min(near, key=lambda x: (-x.macro_f1, x.ngram_max, x.weighted, x.c))
+
+
+# ---- runs of paid calls
+
+
+def plain_run(calls: dict, attempts: dict, send, cap: float) -> tuple[dict, bool]:
+    ledger = dict(attempts)
+    while True:
+        waiting = []
+        for key in sorted(calls):
+            own = [v for (k, _), v in ledger.items() if k == key]
+            if not any(ok for ok, _ in own) and len(own) < 2:
+                waiting.append((key, len(own) + 1))
+        if not waiting:
+            return ledger, False
+        total, go = sum(c for _, c in ledger.values()), []
+        for key, attempt in waiting:
+            total += calls[key]
+            if total > cap:
+                break
+            go.append((key, attempt))
+        if not go:
+            return ledger, True
+        for ka in go:
+            ledger[ka] = send(*ka)
+
+
+@pytest.mark.parametrize("cap", [0.0, 3.0, 9.0, 1000.0])
+def test_run_settles_every_attempt_once(spark, cap):
+    r = random.Random(2)
+    calls = {f"k{i:03}": r.randint(1, 8) / 16 for i in range(60)}
+    before = {(k, 1): (r.random() < 0.5, 0.125) for k in list(calls)[::4]}
+
+    def answer(key: str, attempt: int) -> tuple[bool, float]:
+        n = int(hashlib.md5(f"{key}{attempt}".encode()).hexdigest()[:4], 16)
+        return n % 3 > 0, calls[key] * (n % 5) / 8
+
+    told = F_udf(answer)
+    df = spark.createDataFrame(list(calls.items()), "key string, worst double").repartition(4)
+    paid = spark.createDataFrame([(k, a, ok, c) for (k, a), (ok, c) in before.items()], "key string, attempt int, ok boolean, cost double")
+
+    def send(go):
+        once = go.select("key", "attempt", told("key", "attempt").alias("x")).select("key", "attempt", "x.ok", "x.cost")
+        return once.unionByName(once)  # every task ran twice
+
+    got, stopped = L.run(df, paid, send, cap)
+    want, stops = plain_run(calls, before, answer, cap)
+    assert {(x.key, x.attempt): (x.ok, x.cost) for x in got.collect()} == want and stopped == stops
+    assert got.count() == len(want)
+    assert L.settled(got, got).count() == len(want)  # settled again, nothing changes
+    assert L.spent(got.unionByName(got)).first().spent == pytest.approx(sum(c for _, c in want.values()))
+
+
+def F_udf(f):
+    from pyspark.sql import functions as F
+
+    return F.udf(f, "struct<ok:boolean,cost:double>")
+
+
+def test_run_cap_and_worst_cost(spark):
+    from pyspark.sql import functions as F
+
+    waiting = spark.createDataFrame([("a", 0.02), ("b", 0.02)], "key string, worst double")
+    paid = spark.createDataFrame([("x", 1, True, 0.9)], "key string, attempt int, ok boolean, cost double")
+    one = lambda *a: [x.admitted for x in L.admitted(waiting, paid, *a).orderBy("key").collect()]
+    assert one(1.0) == [True, True] and one(0.93) == [True, False] and one(0.9) == [False, False]
+    assert one(100.0, 0.03) == [True, False] and one(100.0, 0.01) == [False, False]
+    assert L.admitted(waiting, paid, 100.0, 0.93, paid).where("admitted").count() == 1
+    cost = spark.range(1).select(L.worst_cost(F.lit(3000), {"input": 1.0, "written": 2.0, "output": 10.0}, 100)).first()[0]
+    assert cost == pytest.approx((1000 * 2 + 100 * 10) / 1e6)
+
+
+def test_call_frame_shares_and_dense_scores(spark):
+    targets = spark.createDataFrame([("c1", "s1"), ("c1", "s2"), ("c2", "s3")], "call string, segment_id string")
+    attempts = spark.createDataFrame([("c1", 1, 0.5, 100.0), ("c1", 2, 0.25, 60.0), ("c2", 1, 1.0, 10.0)], "call string, attempt int, cost double, latency_ms double")
+    scores = spark.createDataFrame([("c1", "s1", "b", 0.7), ("c1", "s1", None, None), ("c1", "s2", None, None)], "call string, segment_id string, label string, score double")
+    got = {x.segment_id: x for x in L.call_frame(targets, attempts, scores, ["a", "b"], {"b": 0.7}).collect()}
+    assert [tuple(got[s][1:]) for s in ("s1", "s2", "s3")] == [("c1", 0.375, 30.0, 60.0, False, [0.0, 0.7], ["b"]), ("c1", 0.375, 30.0, 60.0, False, [0.0, 0.0], []), ("c2", 1.0, 10.0, 10.0, True, [0.0, 0.0], [])]
