@@ -75,8 +75,12 @@ def long_interval(values: DataFrame, level: float = 0.95) -> DataFrame:
 
 
 def verdict(claims: DataFrame) -> DataFrame:
-    """One row, verdict: what both co-primary metrics claim, else "mixed"; claims: metric, claim."""
-    return claims.agg(F.when(F.countDistinct("claim") == 1, F.first("claim")).otherwise("mixed").alias("verdict"))
+    """One row, verdict: what all co-primary metrics claim, where that is the same and not "none"; else "per metric" and each
+    one's claim, in the metrics' order. claims: metric, claim; a null claim counts as "none"."""
+    told = claims.select("metric", F.coalesce("claim", F.lit("none")).alias("claim"))
+    each = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("metric", "claim"))), lambda x: F.concat_ws(" ", x["metric"], x["claim"])), ", ")
+    one = (F.countDistinct("claim") == 1) & (F.first("claim") != "none")
+    return told.agg(F.when(one, F.first("claim")).otherwise(F.concat(F.lit("per metric: "), each)).alias("verdict"))
 
 
 def interval(values: DataFrame, columns: list[str], level: float = 0.95) -> DataFrame:

@@ -84,6 +84,69 @@ def parity(rows: DataFrame, keys: list[str], a: str, b: str, cut: float) -> Data
     return t.withColumn("passed", (F.col("disagreements") == 0) | few)
 
 
+def parity_verdict(totals: DataFrame, model: str, failed: DataFrame, exact: list[str]) -> DataFrame:
+    """totals (model, pairs, disagreements, flagged, ...) with failed (requests) and passed.
+
+    A model with a failed request doesn't pass; one of `exact` passes without any disagreement only, others with at most a
+    thousandth of the pairs and a hundredth of what either side flagged. failed: one row per failed request.
+    """
+    lost = failed.groupBy(model).agg(F.count("*").alias("failed"))
+    few = (F.col("disagreements") * 1000 <= F.col("pairs")) & (F.col("disagreements") * 100 <= F.greatest("flagged", F.lit(1)))
+    rows = totals.drop("passed").join(lost, model, "left").na.fill(0, ["failed"])
+    return rows.withColumn("passed", (F.col("failed") == 0) & F.when(F.col(model).isin(*exact), F.col("disagreements") == 0).otherwise(few))
+
+
+#: A label export: the text's hash, a state for every category, and the spans, whose values may be of any type.
+EXPORT = "text_sha256 string, checklist map<string,string>, spans array<variant>"
+STATES = ("marked", "not present")
+
+
+def export_violations(exports: DataFrame, texts: DataFrame, key: str, categories: list[str]) -> DataFrame:
+    """key, rule, path of every violation in label exports (key, export: JSON); none where an export holds.
+
+    texts: key, text. Rules: json (not an object), text (hash of another text, or none of this key), missing and unknown
+    (checklist entries), state, category, type (offsets that aren't whole numbers), range, and disagrees: the checklist says
+    marked just where spans of the category exist. An export without spans or checklist has none.
+    """
+    parsed = exports.select(key, F.from_json("export", EXPORT).alias("e"), F.try_parse_json("export").alias("v")).join(texts.select(key, "text"), key, "left")
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    value = lambda s, path, kind: F.try_variant_get(s, path, kind)
+    whole = lambda s, c: F.coalesce(F.schema_of_variant(value(s, f"$.{c}", "variant")) == "BIGINT", F.lit(False))
+    span = F.transform(
+        F.coalesce("e.spans", F.array().cast("array<variant>")),
+        lambda s: F.struct(value(s, "$.category", "string").alias("category"), (whole(s, "start") & whole(s, "end")).alias("whole"), value(s, "$.start", "bigint").alias("start"), value(s, "$.end", "bigint").alias("end")),
+    )
+    rows = parsed.select(key, is_object.alias("ok"), "text", F.col("e.text_sha256").alias("hash"), F.coalesce("e.checklist", F.create_map().cast("map<string,string>")).alias("c"), span.alias("s"))
+    known = F.array(*map(F.lit, categories))
+    none = F.array().cast("array<struct<rule:string,path:string>>")
+
+    def one(rule: str, cond: Column, path: Column) -> Column:
+        return F.when(cond, F.array(F.struct(F.lit(rule).alias("rule"), path.alias("path")))).otherwise(none)
+
+    def each(rule: str, values: Column, path: str) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(rule).alias("rule"), F.concat(F.lit(path), x).alias("path")))
+
+    def spans_that(rule: str, bad: Column) -> Column:
+        at = F.filter(F.transform("s", lambda x, i: F.struct(x.alias("x"), i.cast("string").alias("i"))), lambda y: bad(y["x"]))
+        return F.transform(at, lambda y: F.struct(F.lit(rule).alias("rule"), F.concat(F.lit("spans."), y["i"]).alias("path")))
+
+    marked = F.array_distinct(F.transform("s", lambda x: x["category"]))
+    said = F.map_keys(F.map_filter("c", lambda k, v: v == STATES[0]))
+    outside = lambda x: F.coalesce(x["whole"] & ~((x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.length("text"))), F.lit(False))
+    body = F.concat(
+        one("text", ~F.coalesce(F.col("hash") == F.sha2(F.encode("text", "UTF-8"), 256), F.lit(False)), F.lit("text_sha256")),
+        each("missing", F.array_except(known, F.map_keys("c")), "checklist."),
+        each("unknown", F.array_except(F.map_keys("c"), known), "checklist."),
+        each("state", F.map_keys(F.map_filter("c", lambda k, v: ~F.coalesce(v.isin(*STATES), F.lit(False)))), "checklist."),
+        spans_that("category", lambda x: ~F.coalesce(F.array_contains(known, x["category"]), F.lit(False))),
+        spans_that("type", lambda x: ~x["whole"]),
+        spans_that("range", outside),
+        each("disagrees", F.array_intersect(F.map_keys("c"), F.array_union(F.array_except(said, marked), F.array_except(marked, said))), "checklist."),
+    )
+    found = F.when(F.col("ok"), body).otherwise(F.array(F.struct(F.lit("json").alias("rule"), F.lit("").alias("path"))))
+    return rows.select(key, F.inline(found))
+
+
 def smoke_violations(calls: DataFrame, least: int, rules: dict[str, Column]) -> DataFrame:
     """check, n of a first batch of calls: too few of them, and the calls that break each rule."""
     one = calls.agg(F.greatest(F.lit(least) - F.count("*"), F.lit(0)).cast("long").alias("missing calls"), *(n_if(F.coalesce(c, F.lit(True))).alias(k) for k, c in rules.items()))

@@ -712,4 +712,4 @@ def lineitem_bootstrap(spark, d):
     return r6(B.interval(s, ["share"]))
 
 
-from . import queries_audit, queries_study  # noqa: E402, F401  register their queries
+from . import queries_audit, queries_rules, queries_study  # noqa: E402, F401  register their queries

@@ -262,7 +262,9 @@ def test_costs_and_settings(spark, tmp_path):
 
 def test_verdicts_and_detection(spark):
     c = lambda *x: spark.createDataFrame(list(enumerate(x)), "metric long, claim string")
-    assert B.verdict(c("A", "A")).first().verdict == "A" and B.verdict(c("A", "none")).first().verdict == "mixed"
+    told = lambda *x: B.verdict(c(*x)).first().verdict
+    assert told("A", "A") == "A" and told("A", "none") == "per metric: 0 A, 1 none"
+    assert told("none", "none") == "per metric: 0 none, 1 none" and told("A", None) == "per metric: 0 A, 1 none"
     i = spark.createDataFrame([("test", 0.1, 0.2), ("shift", 0.25, 0.4)], "part string, low double, high double")
     assert D.detected(i).first().detected and not D.detected(i.withColumn("high", F.lit(0.3))).first().detected
 
