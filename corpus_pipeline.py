@@ -49,10 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = saved(docs, name.replace(" ", "-"))
-    return docs
+    """All stages over the documents, each written and read again before the next; a stage's table goes when the next is
+    written, so that one copy of the corpus stands beside the one in the making."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"), done=before)
+        before = (docs,)
+    return STAGES[-1][1](spark, docs, sf_dir)
