@@ -7,22 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..sources.written import written
 from .metrics import ap_of_counts, n_if, prf, ratio
-
-
-def numbered(rows: DataFrame, key: str, stratum: str) -> DataFrame:
-    """rows with _i, their place by key in their stratum from 0, and _n, its size; no stratum is brought into one task.
-
-    Rows are dealt out by ranges of stratum and key and written, so that what they come from is computed once; they are
-    numbered inside a range, and only the ranges' counts go through an ordered sum. Places don't depend on the ranges.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(rows.repartitionByRange(parts, stratum, key).withColumn("_b", F.spark_partition_id()), "numbered")
-    counts = ranged.groupBy(stratum, "_b").agg(F.count("*").alias("_c"))
-    before = counts.select(stratum, "_b", (F.sum("_c").over(W.partitionBy(stratum).orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(W.partitionBy(stratum)).alias("_n"))
-    inside = F.row_number().over(W.partitionBy(stratum, "_b").orderBy(key)) - 1
-    return ranged.withColumn("_r", inside).join(before, [stratum, "_b"]).withColumn("_i", (F.col("_before") + F.col("_r")).cast("long")).drop("_b", "_r", "_before")
+from .ordered import numbered
 
 
 def weights(contracts: DataFrame, key: str, stratum: str | None, resamples: int, stream: str) -> DataFrame:

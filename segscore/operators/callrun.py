@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.written import written
+from .ordered import running
 
 #: Attempts of a call at most: one, and one more where its answer isn't valid.
 ATTEMPTS = 2
@@ -23,17 +23,6 @@ def worst_cost(chars: Column, prices: dict[str, float], most_output: int) -> Col
     return (chars / 3 * max(prices["input"], prices.get("written", 0.0)) + most_output * prices["output"]) / 1e6
 
 
-def running_sum(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """rows with the sum of `value` up to and with each, by distinct `order`: rows are dealt out by range and written, summed
-    inside a range, and only the ranges' sums go through one ordered pass."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(rows.repartitionByRange(parts, order).withColumn("_b", F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = sums.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_before"))  # a row per range
-    inside = F.sum(value).over(W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return ranged.withColumn("_in", inside).join(F.broadcast(before), "_b").withColumn(out, F.col("_before") + F.col("_in")).drop("_b", "_in", "_before")
-
-
 def pending(calls: DataFrame, attempts: DataFrame) -> DataFrame:
     """calls (key, ...) with the number of their next attempt: those without a valid answer that have tries left."""
     known = attempts.groupBy("key").agg(F.countDistinct("attempt").alias("sent"), F.bool_or("ok").alias("answered"))
@@ -49,7 +38,7 @@ def spent(attempts: DataFrame) -> DataFrame:
 def admitted(waiting: DataFrame, paid: DataFrame, cap: float, run_cap: float | None = None, run_paid: DataFrame | None = None) -> DataFrame:
     """waiting (key, worst, ...) with reserved, the running worst cost, and admitted: whether cap (all that was ever paid) and
     run_cap (what this run paid) still hold with it. What one can't have, none behind it gets."""
-    rows = running_sum(waiting, "key", "worst", "reserved")
+    rows = running(waiting, ["key"], {"reserved": "worst"})
     rows = rows.crossJoin(F.broadcast(spent(paid).withColumnRenamed("spent", "_all")))
     ok = F.col("_all") + F.col("reserved") <= cap
     if run_cap is not None:

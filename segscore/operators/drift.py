@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
 from .metrics import ratio
+from .ordered import running
 
 EPS = 1e-4
 
@@ -58,22 +59,24 @@ def upper_p(null: DataFrame, values: DataFrame, id_: str, v: str) -> DataFrame:
     marks = null.where(F.col(v).isNotNull()).groupBy(v).agg(F.count("*").alias("_n")).select(F.col(v).alias("_v"), "_n")
     points = values.where(F.col(v).isNotNull()).select(F.col(v).alias("_v")).distinct().withColumn("_n", F.lit(0).cast("long"))
     both = marks.unionByName(points).groupBy("_v").agg(F.sum("_n").alias("_n"))
-    upto = both.withColumn("_ge", F.sum("_n").over(W.orderBy(F.desc("_v")).rowsBetween(W.unboundedPreceding, 0)))
+    upto = running(both, ["_v"], {"_ge": "_n"}, descending=True)
     n = null.agg(F.count("*").alias("_total"))
     joined = values.join(upto.drop("_n"), F.col(v) == F.col("_v"), "left").crossJoin(n)
     return joined.select(id_, v, F.coalesce((1 + F.col("_ge")) / (F.col("_total") + 1), F.lit(1.0)).alias("p"))
 
 
 def leave_one_out_p(null: DataFrame, v: str, out: str) -> DataFrame:
-    """The null's own members: the share of members at or above each."""
-    return null.withColumn(out, 1 - F.percent_rank().over(W.orderBy(v)) * (F.count("*").over(W.partitionBy()) - 1) / F.count("*").over(W.partitionBy()))
+    """The null's own members: the share of members at or above each; null values lie under all others."""
+    counts = running(null.groupBy(v).agg(F.count("*").alias("_n")), [v], {"_upto": "_n"})
+    share = counts.crossJoin(F.broadcast(null.agg(F.count("*").alias("_total")))).select(F.col(v).alias("_v"), (1 - (F.col("_upto") - F.col("_n")) / F.col("_total")).alias(out))
+    return null.join(share, F.col(v).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def tie_safe_threshold(scores: DataFrame, score: str, alpha: float) -> DataFrame:
     """The largest attained score whose share at or below it is at most alpha; null where none is."""
-    counts = scores.groupBy(score).agg(F.count("*").alias("_n"))
-    share = F.sum("_n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, 0)) / F.sum("_n").over(W.partitionBy())
-    return counts.withColumn("_share", share).where(F.col("_share") <= alpha).agg(F.max(score).alias("threshold"), F.max("_share").alias("null_share"))
+    counts = running(scores.groupBy(score).agg(F.count("*").alias("_n")), [score], {"_upto": "_n"})
+    share = counts.crossJoin(F.broadcast(scores.agg(F.count("*").alias("_total")))).withColumn("_share", F.col("_upto") / F.col("_total"))
+    return share.where(F.col("_share") <= alpha).agg(F.max(score).alias("threshold"), F.max("_share").alias("null_share"))
 
 
 def min_p(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
 from ..sources.written import written
-from .bootstrap import numbered
+from .ordered import numbered
 from .sampling import quotas_with_capacity
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def n_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
@@ -91,11 +93,9 @@ def kappa(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean; by counts of distinct values, so no row-level sort in one task is needed
-    beyond the distinct values."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    ranks = counts.select(F.col(column).alias("_v"), (upto - (F.col("_n") - 1) / 2).alias(out))
+    """Ranks from 1, ties sharing their mean, by running counts of distinct values."""
+    counts = running(df.groupBy(column).agg(F.count("*").alias("_n")), [column], {"_upto": "_n"})
+    ranks = counts.select(F.col(column).alias("_v"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
     return df.join(ranks, F.col(column) == F.col("_v")).drop("_v")
 
 

@@ -19,7 +19,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def dense_key(df: DataFrame, by: str, out: str) -> DataFrame:
     """Distinct values numbered from 0 in order, by ranges of them: no task sorts them all."""
-    from ..operators.bootstrap import numbered
+    from ..operators.ordered import numbered
 
     values = numbered(df.select(by, F.lit(0).alias("_s")).distinct(), by, "_s")
     return df.join(values.select(by, F.col("_i").alias(out)), by)

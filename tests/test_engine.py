@@ -14,6 +14,7 @@ from segscore.operators import curation as C
 from segscore.operators import drift as D
 from segscore.operators import intervals as I
 from segscore.operators import metrics as M
+from segscore.operators import ordered
 from segscore.operators import sampling as S
 from segscore.operators import thresholds as H
 from segscore.plans import world as P
@@ -214,7 +215,7 @@ def test_numbers_do_not_depend_on_bounds(spark):
     for parts in (1, 3, 20):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         try:
-            got = {(x.s, x.k): (x._i, x._n) for x in B.numbered(df, "k", "s").collect()}
+            got = {(x.s, x.k): (x._i, x._n) for x in ordered.numbered(df, "k", "s").collect()}
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 4)
         for s in "ab":
