@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.written import written
 
 #: Places left open in a form, and redactions (letters of either case).
 BLANK = r"_{5,}|\[●\]|\[Name"
@@ -38,18 +39,20 @@ def marker_rates(text: Column) -> dict[str, Column]:
 
 
 def shingle_rows(docs: DataFrame, key: str, text: str, n: int = 8) -> DataFrame:
-    return docs.select(key, F.explode(T.shingles(F.col(text), n)).alias("h"))
+    """key, h, n: the distinct shingles of a text, and how many it has."""
+    told = T.bound(T.shingles(F.col(text), n), lambda a: F.transform(a, lambda h: F.struct(F.size(a).cast("long").alias("n"), h.alias("h"))))
+    return docs.select(key, F.inline(told))
 
 
 def containment(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:
-    """lkey, rkey, common, containment = the larger share of common shingles of either side; rows are (key, h).
+    """lkey, rkey, common, containment = the larger share of common shingles of either side; rows are of shingle_rows().
 
-    An inverted index by hash join: shingles on one side only meet nobody, and the join's large side may be split.
+    An inverted index by hash join: shingles on one side only meet nobody, and the join's large side may be split. Every
+    side's texts are cut into shingles once: a shingle's row brings its text's number of them along.
     """
-    sizes_l, sizes_r = left.groupBy(lkey).agg(F.count("*").alias("_nl")), right.groupBy(rkey).agg(F.count("*").alias("_nr"))
-    pairs = left.join(right, "h").groupBy(lkey, rkey).agg(F.count("*").alias("common"))
-    full = pairs.join(sizes_l, lkey).join(sizes_r, rkey)
-    return full.select(lkey, rkey, "common", F.greatest(F.col("common") / F.col("_nl"), F.col("common") / F.col("_nr")).alias("containment"))
+    met = left.withColumnRenamed("n", "_nl").join(right.withColumnRenamed("n", "_nr"), "h")
+    pairs = met.groupBy(lkey, rkey).agg(F.count("*").alias("common"), F.first("_nl").alias("_nl"), F.first("_nr").alias("_nr"))
+    return pairs.select(lkey, rkey, "common", F.greatest(F.col("common") / F.col("_nl"), F.col("common") / F.col("_nr")).alias("containment"))
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -198,12 +201,12 @@ def contained_pairs(docs: DataFrame, key: str, text: str, over: float, n: int =
     of them, so only so many, the rarest, are asked for in the index of all; pairs are then counted exactly. Frequent
     shingles are thereby not joined with themselves.
     """
-    rows = shingle_rows(docs, key, text, n)
+    rows = written(shingle_rows(docs, key, text, n), "shingles")
     df = rows.groupBy("h").agg(F.count("*").alias("_df")).where("_df > 1")
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy(key).agg(F.first("n").alias("_n"))
     rank = F.row_number().over(W.partitionBy(key).orderBy("_df", "h"))
-    ranked = rows.join(df, "h", "left").withColumn("_df", F.coalesce("_df", F.lit(1))).withColumn("_r", rank).join(sizes, key)
-    asked = ranked.where((F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * over) + 1) & (F.col("_df") > 1)).select("h", F.col(key).alias("_x"))
+    ranked = rows.join(df, "h", "left").withColumn("_df", F.coalesce("_df", F.lit(1))).withColumn("_r", rank)
+    asked = ranked.where((F.col("_r") <= F.col("n") - F.ceil(F.col("n") * over) + 1) & (F.col("_df") > 1)).select("h", F.col(key).alias("_x"))
     found = asked.join(rows.join(df.select("h"), "h", "left_semi"), "h").where(F.col("_x") != F.col(key))
     pairs = found.select(F.least("_x", key).alias("a"), F.greatest("_x", key).alias("b")).distinct()
     left, right = (rows.select(F.col(key).alias(k), "h") for k in "ab")

@@ -26,6 +26,7 @@ from .operators import thresholds as H
 from .plans import world as P
 from .sources import io
 from .sources.scorer import KeywordScorer
+from .sources.written import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -294,11 +295,15 @@ def bootstrap_weights(spark, d):
     return B.weights(P.segments(P.table(spark, d, "events")).select("contract_id", "ctype").distinct(), "contract_id", "ctype", 50, "test")
 
 
-def boot(spark, d, stream: str, split: str, stratum: str | None = "ctype", score: str = "score", n: int = 200):
-    rows = tuned(spark, d, score).where(F.col("split") == split)
+def boot_weights(spark, d, stream: str, split: str, stratum: str | None = "ctype", n: int = 200):
     # Contracts come from the segments alone: no threshold has to be tuned for them.
     contracts = P.segments(P.table(spark, d, "events")).where(F.col("split") == split).select("contract_id", "ctype").distinct()
-    w = B.weights(contracts, "contract_id", stratum, n, stream)
+    return B.weights(contracts, "contract_id", stratum, n, stream)
+
+
+def boot(spark, d, stream: str, split: str, stratum: str | None = "ctype", score: str = "score", w: DataFrame | None = None):
+    rows = tuned(spark, d, score).where(F.col("split") == split)
+    w = boot_weights(spark, d, stream, split, stratum) if w is None else w
     return B.resampled_f1(M.label_counts(rows, ["contract_id", "label"]), w, "contract_id")
 
 
@@ -317,7 +322,8 @@ def bootstrap_unstratified_ci(spark, d):
 
 @query(O.PAIRED_COMPARISON)
 def paired_comparison(spark, d):
-    return r6(B.paired(boot(spark, d, "test", "test"), boot(spark, d, "test", "test", score="other"), BOTH, 12))
+    w = written(boot_weights(spark, d, "test", "test"), "weights")
+    return r6(B.paired(boot(spark, d, "test", "test", w=w), boot(spark, d, "test", "test", score="other", w=w), BOTH, 12))
 
 
 @query(O.TEST_MINUS_SHIFT)
