@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,37 +36,51 @@ BLOCK = 64
 SHOWN, ENDED = r"[^\x20\x09-\x0D]", r"[.!?][\x20\x09-\x0D]*\z"
 
 
-@lru_cache(maxsize=1 << 17)
-def cheapest(rest: str, state: int, after: tuple[int, ...], inserted: int = 0) -> tuple[int, str, int]:
-    """The cost, initials and last state of the best edits of the rows `rest`; `after`: the cost from each last state on.
-
-    Letters: the role's initial (x: another role), upper case where truncated; d: must go; '.': the conversation's end.
-    New rows stand before a row or at the end, so that blocks never compete for them.
-    """
-    if not rest:
-        return after[state], "", state
-    head, tail = rest[0], rest[1:]
-    choices: list[tuple[int, str, int | None]] = []  # cost, initial, next state
-    if head == ".":
-        choices.append((0, "", state))
-    else:
-        choices.append((DELETE, "D", state))
-        if head != "d":
-            extra = TRUNCATED if head.isupper() else 0
-            choices.append((KEEP + extra, "K", STEP.get((state, head.lower()))))
-            choices += [(REROLE + extra, "R", STEP.get((state, r))) for r in "ua"]
-    found = []
-    for cost, initial, then in choices:
-        if then is not None:
-            more, audit, last = cheapest(tail, then, after)
-            found.append((cost + more, initial + audit, last))
-    if inserted < 2:  # from any state two new rows lead to any other that new rows can reach
-        for r in "ua":
-            then = STEP.get((state, r))
+class Solver:
+    """The cheapest edits of strings of rows, by recursion over the rows; a task's memo, of bounded size, serves all its strings."""
+
+    MOST = 1 << 17
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, tuple[int, str, int]] = {}
+
+    def __call__(self, rest: str, state: int, after: tuple[int, ...], inserted: int = 0) -> tuple[int, str, int]:
+        """The cost, initials and last state of the best edits of the rows `rest`; `after`: the cost from each last state on.
+
+        Letters: the role's initial (x: another role), upper case where truncated; d: must go; '.': the conversation's end.
+        New rows stand before a row or at the end, so that blocks never compete for them.
+        """
+        if not rest:
+            return after[state], "", state
+        key = (rest, state, after, inserted)
+        best = self.known.get(key)
+        if best is None:
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            best = self.known[key] = min(self.choices(*key))
+        return best
+
+    def choices(self, rest: str, state: int, after: tuple[int, ...], inserted: int) -> Iterator[tuple[int, str, int]]:
+        head, tail = rest[0], rest[1:]
+        moves: list[tuple[int, str, int | None]] = []  # cost, initial, next state
+        if head == ".":
+            moves.append((0, "", state))
+        else:
+            moves.append((DELETE, "D", state))
+            if head != "d":
+                extra = TRUNCATED if head.isupper() else 0
+                moves.append((KEEP + extra, "K", STEP.get((state, head.lower()))))
+                moves += [(REROLE + extra, "R", STEP.get((state, r))) for r in "ua"]
+        for cost, initial, then in moves:
             if then is not None:
-                more, audit, last = cheapest(rest, then, after, inserted + 1)
-                found.append((INSERT + more, "I" + audit, last))
-    return min(found)
+                more, audit, last = self(tail, then, after)
+                yield cost + more, initial + audit, last
+        if inserted < 2:  # from any state two new rows lead to any other that new rows can reach
+            for r in "ua":
+                then = STEP.get((state, r))
+                if then is not None:
+                    more, audit, last = self(rest, then, after, inserted + 1)
+                    yield INSERT + more, "I" + audit, last
 
 
 def rows_of(conversations: DataFrame, harm: bool) -> DataFrame:
@@ -144,7 +157,7 @@ def signature_blocks(marked: DataFrame, block: int) -> DataFrame:
 def passages(blocks: DataFrame) -> DataFrame:
     """signature, costs: of every distinct signature, the cost from each state (four rows) to each state at its end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = [tuple(0 if i == j else NEVER for j in range(4)) for i in range(4)]
+        cheapest, ends = Solver(), [tuple(0 if i == j else NEVER for j in range(4)) for i in range(4)]
         for batch in batches:
             costs = [[min(cheapest(x, i, e)[0], NEVER) for i in range(4) for e in ends] for x in batch.column("signature").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("signature"), pa.array(costs, pa.list_(pa.int64()))], names=["signature", "costs"])
@@ -178,6 +191,7 @@ def solved(asked: DataFrame) -> DataFrame:
     answer = pa.list_(pa.struct([("cost", pa.int64()), ("audit", pa.string()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cheapest = Solver()
         for batch in batches:
             out = []
             for signature, rest in zip(batch.column("signature").to_pylist(), batch.column("rest").to_pylist(), strict=True):

@@ -109,23 +109,32 @@ def test_blocks_meet(spark):
 
 def test_long_conversations_in_blocks():
     """The recursion over blocks gives the same as one over all rows, with the state and costs carried between them."""
-    r = random.Random(9)
+    r, cheapest = random.Random(9), repair.Solver()
     for _ in range(300):
         whole = "".join(r.choice("suaxSUAXdduaua") for _ in range(r.randint(0, 30))) + "."
-        want = repair.cheapest(whole, 0, repair.END)
+        want = cheapest(whole, 0, repair.END)
         size = r.randint(1, 5)
         parts = [whole[i : i + size] for i in range(0, len(whole) - 1, size)] or [""]
         parts[-1] = parts[-1].rstrip(".") + "."
         rests = [repair.END]
         for p in reversed(parts[1:]):
-            rests.append(tuple(repair.cheapest(p, s, rests[-1])[0] for s in range(4)))
+            rests.append(tuple(cheapest(p, s, rests[-1])[0] for s in range(4)))
         state, cost, audit = 0, 0, ""
         for p, rest in zip(parts, reversed(rests), strict=True):
-            c, a, last = repair.cheapest(p, state, rest)
+            c, a, last = cheapest(p, state, rest)
             cost, audit, state = cost + c - rest[last], audit + a, last
         assert (cost, audit) == want[:2]
 
 
+def test_a_full_memo_starts_anew(monkeypatch):
+    r = random.Random(4)
+    strings = ["".join(r.choice("suaxSUAXd") for _ in range(12)) + "." for _ in range(50)]
+    want = [repair.Solver()(x, 0, repair.END) for x in strings]
+    monkeypatch.setattr(repair.Solver, "MOST", 20)
+    small = repair.Solver()
+    assert [small(x, 0, repair.END) for x in strings] == want
+
+
 def test_empty_table(spark):
     assert repair.report(spark.createDataFrame([], ROWS)).count() == 0
     assert repair.repaired(spark.createDataFrame([], ROWS)).count() == 0
