@@ -130,7 +130,7 @@ def test_a_full_memo_starts_anew(monkeypatch):
     r = random.Random(4)
     strings = ["".join(r.choice("suaxSUAXd") for _ in range(12)) + "." for _ in range(50)]
     want = [repair.Solver()(x, 0, repair.END) for x in strings]
-    monkeypatch.setattr(repair.Solver, "MOST", 20)
+    monkeypatch.setattr(repair.Solver, "MOST", 200)
     small = repair.Solver()
     assert [small(x, 0, repair.END) for x in strings] == want
 
