@@ -100,8 +100,9 @@ PHRASE_CLASSIFY = """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents),
     CASE WHEN contains(t, 'the') THEN 'Common' END], lambda x: x IS NOT NULL)) AS a FROM d)
 SELECT doc_id, CASE WHEN len(a) = 1 THEN a[1] END AS type, CASE len(a) WHEN 1 THEN 'one' WHEN 0 THEN 'none' ELSE 'ambiguous' END AS type_status FROM h"""
 
-GRID_CROSS = """SELECT n AS ngram_max, c::DOUBLE AS c, w AS weighting, concat_ws('-', n::VARCHAR, printf('%.1f', c::DOUBLE), w) AS config_id
-FROM (VALUES (1::BIGINT), (2::BIGINT)) a(n), (VALUES (0.1), (1.0), (10.0)) b(c), (VALUES ('none'), ('balanced')) e(w)"""
+GRID_CROSS = """WITH l AS (SELECT lang, count(*) AS segments, count(DISTINCT text) AS texts FROM documents GROUP BY 1)
+SELECT lang, segments, texts, n AS ngram_max, c::DOUBLE AS c, w AS weighting, concat_ws('-', lang, n::VARCHAR, printf('%.1f', c::DOUBLE), w) AS config_id, round(1 / (c::DOUBLE * segments), 9) AS penalty
+FROM l, (VALUES (1::BIGINT), (2::BIGINT)) a(n), (VALUES (0.1), (1.0), (10.0)) b(c), (VALUES ('none'), ('balanced')) e(w)"""
 
 KV_MISSING_CALLS = """SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = c.conv_id AND a.turn - 1 = c.turn)"""
 

@@ -137,8 +137,12 @@ def phrase_classify(spark, d):
 
 @query(O.GRID_CROSS)
 def grid_cross(spark, d):
-    grid = spark.range(1, 3).select(F.col("id").alias("ngram_max")).crossJoin(spark.createDataFrame([(0.1,), (1.0,), (10.0,)], "c double")).crossJoin(spark.createDataFrame([("none",), ("balanced",)], "weighting string"))
-    return grid.withColumn("config_id", F.concat_ws("-", F.col("ngram_max").cast("string"), F.format_string("%.1f", "c"), "weighting"))
+    """Every setting of a grid for every language's documents, with the penalty that its number of segments makes of c."""
+    one = lambda values, name: F.explode(F.array(*map(F.lit, values))).alias(name)
+    langs = P.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("segments"), F.countDistinct("text").alias("texts"))
+    grid = langs.select("*", one([1, 2], "n")).select("*", one([0.1, 1.0, 10.0], "c")).select("*", one(["none", "balanced"], "weighting"))
+    told = F.concat_ws("-", "lang", F.col("n").cast("string"), F.format_string("%.1f", "c"), "weighting")
+    return grid.select("lang", "segments", "texts", F.col("n").cast("long").alias("ngram_max"), "c", "weighting", told.alias("config_id"), F.round(1 / (F.col("c") * F.col("segments")), 9).alias("penalty"))
 
 
 @query(O.KV_MISSING_CALLS)
