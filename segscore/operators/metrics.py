@@ -92,6 +92,14 @@ def kappa(df: DataFrame, x: str, y: str) -> DataFrame:
     return m.select("n", "agreement", F.try_divide(F.col("agreement") - chance, 1 - chance).alias("kappa"))
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean to ten places by decimals, so that it doesn't hang on the order of rows and ties are told; by doubles where a
+    value or the sum is out of their range."""
+    told = value.try_cast("decimal(28,10)")
+    total = F.when(F.count(told) == F.count(value), F.try_sum(told))
+    return F.coalesce(F.try_divide(total, F.count(value)).cast("double"), F.avg(value))
+
+
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Ranks from 1, ties sharing their mean, by running counts of distinct values."""
     counts = running(df.groupBy(column).agg(F.count("*").alias("_n")), [column], {"_upto": "_n"})
