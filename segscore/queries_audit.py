@@ -472,5 +472,5 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b
 SELECT a, b, common, round(greatest(common::DOUBLE / x.n, common::DOUBLE / y.n), 6) AS containment FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE greatest(common::DOUBLE / x.n, common::DOUBLE / y.n) > 0.5""")
 def near_duplicates(spark, d):
     """Texts that lie by more than half in another one, by shingles of eight words; equal texts are one, named by the least id."""
-    docs = P.table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    docs = C.without_copies(P.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
     return r6(C.contained_pairs(docs, "doc_id", "text", 0.5))
