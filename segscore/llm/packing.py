@@ -86,7 +86,7 @@ class WordEncoder:
         return [raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
 
     def apart(self, words: list[str]) -> list[bytes]:
-        ids = np.asarray(self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
         at = (np.flatnonzero(ids == self.mark_id) * 4).tolist()
         if len(at) != len(words) - 1:  # a word has the mark itself
             return [np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
