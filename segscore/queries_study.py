@@ -36,11 +36,12 @@ f AS (SELECT g.target, o.row AS labelled, {O.r6("o.s")} AS labelled_similarity,
 def retrieved(spark, d):
     """Documents of good quality are the labelled rows; targets are the documents whose number is divisible by 20."""
     docs = P.table(spark, d, "documents")
-    vectors = C.tfidf(docs, "doc_id", "text").withColumnRenamed("doc_id", "id")
-    good = P.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("good"))
-    pool = docs.select(F.col("doc_id").alias("id")).join(good, F.col("id") == F.col("good"), "left").select("id", F.col("good").isNotNull().alias("labelled"))
-    vectors = written(vectors, "vectors")
-    return R.nearest_examples(pool, vectors, vectors.where("id % 20 = 0").withColumnRenamed("id", "target"))
+    counts, n = C.counted_terms(docs, ["doc_id"], "text"), docs.count()
+    df = C.document_counts(counts)
+    packed = lambda rows: C.packed(C.term_weights(rows, df, n, ["doc_id"]), "doc_id", unit=True)
+    good = written(P.table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("labelled")).distinct(), "labelled")
+    pool = C.beside(packed(counts), good, "doc_id").withColumnRenamed("doc_id", "id")
+    return R.nearest_packed(pool, packed(counts.where("doc_id % 20 = 0")).where("length(terms) > 0").withColumnRenamed("doc_id", "target"))
 
 
 @query(f"WITH {SIMILAR} SELECT * FROM f")
