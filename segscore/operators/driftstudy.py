@@ -22,6 +22,8 @@ INPUT = ("oov_rate_diff", "tfidf_centroid_distance", "length_psi")
 MODEL = ("label_mix_js", "none_share_diff", "confidence_psi")
 #: The inner edges of confidence bins; tenths fall into the middle of a bin.
 CONFIDENCE_EDGES = [round(0.05 + i / 10, 2) for i in range(10)]
+#: Rows that a block of terms has at most, on an average.
+TILE_ROWS = 1 << 18
 
 
 def statistics(models: list[str]) -> list[str]:
@@ -63,8 +65,8 @@ def gram(vectors: DataFrame, key: str, block: int = 512, term_blocks: int = 16)
     Keys and terms are dealt into blocks; a task multiplies two blocks of keys over one block of terms as matrices, and the
     products are summed up over the blocks of terms. No term's keys meet each other as rows.
     """
-    count = vectors.select(key).distinct().agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("long").alias("_blocks"))
-    blocked = vectors.crossJoin(F.broadcast(count)).select(F.col(key).alias("k"), "term", "weight", F.pmod(F.xxhash64(key), F.col("_blocks")).alias("_kb"), F.pmod(F.xxhash64("term"), F.lit(term_blocks)).alias("_tb"), "_blocks")
+    count = vectors.groupBy(key).agg(F.count("*").alias("n")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("long").alias("_blocks"), F.greatest(F.lit(term_blocks), F.ceil(F.coalesce(F.sum("n"), F.lit(0)) / TILE_ROWS)).cast("long").alias("_terms"))
+    blocked = vectors.crossJoin(F.broadcast(count)).select(F.col(key).alias("k"), "term", "weight", F.pmod(F.xxhash64(key), F.col("_blocks")).alias("_kb"), F.pmod(F.xxhash64("term"), F.col("_terms")).alias("_tb"), "_blocks")
     mine = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, "_kb").alias("_x"), F.greatest(o, "_kb").alias("_y")))
     tiles = blocked.select("k", "term", "weight", "_kb", "_tb", F.explode(mine).alias("_t")).select("k", "term", "weight", "_kb", "_tb", "_t._x", "_t._y")
     kind = vectors.schema[key].dataType.simpleString()

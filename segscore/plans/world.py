@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
 from ..functions.text import segment_documents
-from ..functions.text import tokens as tokens_of
-from ..operators.curation import tfidf, vocabulary
+from ..operators.curation import beside, counted_terms, idf_weight
 from ..sources.scorer import Scorer, probabilities
+from ..sources.written import written
 
 LABELS = ["buy", "hot", "pricey"]
 
@@ -56,19 +56,26 @@ def markdown(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame
 MODELS = ["base", "alt"]
 
 
-def drift_world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def drift_world(spark: SparkSession, sf_dir: str, asked: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(segments, vectors): documents as segments of contracts (a source's documents of one language), for drift studies.
 
     segments: contract, ctype, split, n_chars, n_tokens, n_oov (against the terms of two and more validation documents), and
-    what two models said, by keyed draws that lean upwards on shift; one in fifty rows failed. vectors: contract, term,
-    weight: the summed unit TF-IDF vectors of its documents.
+    what two models said, by keyed draws that lean upwards on shift; one in fifty rows failed. vectors: contract, term (a
+    64-bit hash), weight: the summed unit TF-IDF vectors of its documents; asked: the one split whose contracts need them.
+
+    Texts are cut once; rows of (document, term) stay in place, beside the counts of terms, and what is shuffled are sums by
+    document and by contract and term.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("contract"), F.col("lang").alias("ctype"), "text")
     part = draw("drift", "contract") % 3
     docs = docs.withColumn("split", F.when(part == 0, "val").when(part == 1, "test").otherwise("shift"))
-    vocab = vocabulary(docs.where("split = 'val'"), "doc_id", "text", grams=1).select("term", F.lit(1).alias("known"))
-    tokens = docs.select("doc_id", F.explode(tokens_of(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    counts = tokens.join(vocab, "term", "left").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("n_oov"))
+    bags = counted_terms(docs, ["doc_id", "contract", "split"], "text")
+    df = bags.select("split", F.explode("counts.item").alias("term")).groupBy("term").agg(F.count("*").alias("df"), (F.count_if(F.col("split") == "val") >= 2).alias("known"))
+    df = written(df.where("df >= 2"), "terms")
+    weight = idf_weight(bags.count())
+    each = beside(bags.select("doc_id", F.inline("counts").alias("term", "tf")), df, "term").select("doc_id", "tf", "known", weight.alias("w"))
+    counts = each.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("tf"))).alias("n_oov"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    counts = written(counts, "drift-counts")
     said = []
     for m in MODELS:
         said.append((draw(f"{m} fails", "doc_id") % 50 == 0).alias(f"{m}_failed"))
@@ -76,6 +83,7 @@ def drift_world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
             noise = (draw(m, F.lit(x), "doc_id") % 1000).cast("double") / 1000
             said.append((F.lit(0.8) * noise + F.lit(0.2) * (F.col("split") == "shift").cast("int")).alias(f"{m}_p_{x}"))
     rows = docs.select("doc_id", "contract", "ctype", "split", F.length("text").alias("n_chars"), *said)
-    rows = rows.select("*", *((F.col(f"{m}_p_{x}") >= 0.6).alias(f"{m}_{x}") for m in MODELS for x in LABELS)).join(counts, "doc_id", "left").na.fill(0, ["n_tokens", "n_oov"])
-    vectors = tfidf(docs, "doc_id", "text").join(docs.select("doc_id", "contract"), "doc_id").groupBy("contract", "term").agg(F.sum("weight").alias("weight"))
-    return rows, vectors
+    rows = rows.select("*", *((F.col(f"{m}_p_{x}") >= 0.6).alias(f"{m}_{x}") for m in MODELS for x in LABELS)).join(counts.drop("norm"), "doc_id", "left").na.fill(0, ["n_tokens", "n_oov"])
+    own = beside(bags.where(F.col("split") == asked) if asked else bags, counts.select("doc_id", "norm"), "doc_id")
+    met = beside(own.select("contract", "norm", F.inline("counts").alias("term", "tf")), df, "term").where("df is not null")
+    return rows, met.groupBy("contract", "term").agg(F.sum(weight / F.col("norm")).alias("weight"))
