@@ -73,7 +73,7 @@ def drift_world(spark: SparkSession, sf_dir: str, asked: str | None = None) -> t
     df = bags.select("split", F.explode("counts.item").alias("term")).groupBy("term").agg(F.count("*").alias("df"), (F.count_if(F.col("split") == "val") >= 2).alias("known"))
     df = written(df.where("df >= 2"), "terms")
     weight = idf_weight(bags.count())
-    each = beside(bags.select("doc_id", F.inline("counts").alias("term", "tf")), df, "term").select("doc_id", "tf", "known", weight.alias("w"))
+    each = beside(bags.select("doc_id", F.inline("counts").alias("term", "tf")), df, "term", often="df").select("doc_id", "tf", "known", weight.alias("w"))
     counts = each.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("tf"))).alias("n_oov"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     counts = written(counts, "drift-counts")
     said = []
@@ -85,5 +85,5 @@ def drift_world(spark: SparkSession, sf_dir: str, asked: str | None = None) -> t
     rows = docs.select("doc_id", "contract", "ctype", "split", F.length("text").alias("n_chars"), *said)
     rows = rows.select("*", *((F.col(f"{m}_p_{x}") >= 0.6).alias(f"{m}_{x}") for m in MODELS for x in LABELS)).join(counts.drop("norm"), "doc_id", "left").na.fill(0, ["n_tokens", "n_oov"])
     own = beside(bags.where(F.col("split") == asked) if asked else bags, counts.select("doc_id", "norm"), "doc_id")
-    met = beside(own.select("contract", "norm", F.inline("counts").alias("term", "tf")), df, "term").where("df is not null")
+    met = beside(own.select("contract", "norm", F.inline("counts").alias("term", "tf")), df, "term", often="df").where("df is not null")
     return rows, met.groupBy("contract", "term").agg(F.sum(weight / F.col("norm")).alias("weight"))
