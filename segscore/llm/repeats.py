@@ -292,15 +292,27 @@ class Shard:
         self.owner, self.at = np.nonzero(inside)
         self.size = size
         begin = np.cumsum(size) - size
-        turn = lambda i: strings[self.owner, (self.at + i) % size[self.owner]]
-        keys = np.empty((len(self.at), depth), ">u2")
-        for i in range(depth):
-            keys[:, i] = turn(i)
-        order = np.argsort(keys.view(f"V{2 * depth}").ravel().view(f"S{2 * depth}"), kind="stable")
+        origin, period = begin[self.owner], size[self.owner]
+        later = lambda i: origin + (self.at + i) % period
+        letters = strings[self.owner, self.at]
+        # Rows are ranked by up to four letters, then by twice as many each time, from the ranks of two places.
+        known = min(4, depth)
+        key = np.zeros(len(letters), U64)
+        for i in range(known):
+            key = (key << U64(16)) | letters[later(i)]
+        order = np.argsort(key)
+        while known < depth:
+            s = key[order]
+            ranks = np.empty(len(order), U64)
+            ranks[order] = np.cumsum(np.append(False, s[1:] != s[:-1]))[: len(order)]
+            more = min(known, depth - known)
+            key = (ranks << U64(32)) | ranks[later(more)]
+            order = np.argsort(key)
+            known += more
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        back = begin[self.owner] + (self.at - 1) % size[self.owner]
-        self.letter = turn(-1)[order]
+        back = later(-1)
+        self.letter = letters[back][order]
         self.earlier = rank[back][order]
         self.owner, self.at = self.owner[order], self.at[order]
 
