@@ -51,8 +51,9 @@ def leave_out(sums: DataFrame, w: DataFrame, key: str, columns: list[str]) -> Da
     return batch.crossJoin(total).select("batch", *(F.col(f"b_{c}") for c in columns), *((F.col(f"_{c}") - F.col(f"b_{c}")).alias(f"r_{c}") for c in columns))
 
 
-def upper_p(null: DataFrame, values: DataFrame, id_: str, v: str) -> DataFrame:
-    """id, v, p = (1 + null values at or above v) / (N + 1); a null v gives 1.
+def upper_p(null: DataFrame, values: DataFrame, id_: str, v: str, counted: bool = False) -> DataFrame:
+    """id, v, p = (1 + null values at or above v) / (N + 1); a null v gives 1 or, where it is `counted`, has no null value at or
+    above it, as a comparison in SQL finds none.
 
     The null is counted per distinct value, and values are merged into its order: one sort of both, no pairwise join.
     """
@@ -62,7 +63,7 @@ def upper_p(null: DataFrame, values: DataFrame, id_: str, v: str) -> DataFrame:
     upto = running(both, ["_v"], {"_ge": "_n"}, descending=True)
     n = null.agg(F.count("*").alias("_total"))
     joined = values.join(upto.drop("_n"), F.col(v) == F.col("_v"), "left").crossJoin(n)
-    return joined.select(id_, v, F.coalesce((1 + F.col("_ge")) / (F.col("_total") + 1), F.lit(1.0)).alias("p"))
+    return joined.select(id_, v, ((1 + F.coalesce("_ge", F.lit(0) if counted else F.col("_total"))) / (F.col("_total") + 1)).alias("p"))
 
 
 def leave_one_out_p(null: DataFrame, v: str, out: str) -> DataFrame:

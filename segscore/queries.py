@@ -558,7 +558,7 @@ def user_scores(spark, d):
 @query(O.NULL_PVALUES)
 def null_pvalues(spark, d):
     u = user_scores(spark, d)
-    return r6(D.upper_p(u.where("user_id % 2 = 0"), u.where("user_id % 2 = 1"), "user_id", "v"))
+    return r6(D.upper_p(u.where("user_id % 2 = 0"), u.where("user_id % 2 = 1"), "user_id", "v", counted=True))
 
 
 @query(O.TIE_SAFE)
