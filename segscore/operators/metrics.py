@@ -101,11 +101,11 @@ def exact_mean(value: Column) -> Column:
 
 
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean, by running counts of distinct values."""
-    counts = running(df.groupBy(column).agg(F.count("*").alias("_n")), [column], {"_upto": "_n"})
+    """Ranks from 1, ties sharing their mean, by running counts of distinct values; nulls are one tie, after all others."""
+    counts = running(df.groupBy(column).agg(F.count("*").alias("_n")).withColumn("_null", F.col(column).isNull()), ["_null", column], {"_upto": "_n"})
     ranks = counts.select(F.col(column).alias("_v"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, F.col(column) == F.col("_v")).drop("_v")
+    return df.join(ranks, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    return average_rank(average_rank(df, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("spearman"))
+    return average_rank(average_rank(df.where(F.col(x).isNotNull()), x, "_rx").where(F.col(y).isNotNull()), y, "_ry").agg(F.corr("_rx", "_ry").alias("spearman"))
